@@ -68,6 +68,18 @@ def feature_stages(
     return stages + [VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
+def fit_features(
+    train: DataFrame,
+    numbers: Sequence[str],
+    rates: Sequence[str] = (),
+    categories: Sequence[str] = (),
+) -> PipelineModel:
+    """Learn fill values and codes from train only."""
+    check_categories(train, categories)
+    stages = feature_stages(numbers, rates, categories)
+    return Pipeline(stages=stages).fit(prepare(train, rates))
+
+
 def fit(
     train: DataFrame,
     numbers: Sequence[str],

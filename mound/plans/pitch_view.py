@@ -6,6 +6,7 @@ the tables behind the wanted columns are joined.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,26 +64,30 @@ _WEEKDAY = {
 }
 
 
-def view_sql(columns: Sequence[str], dialect: str = "duckdb") -> str:
-    """``select`` text of the pitch log with the given columns."""
-    exprs = {c: EXPRESSIONS[c].format(weekday=_WEEKDAY[dialect]) for c in columns}
-    text = " ".join(exprs.values())
-    words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
+def _tables(text: str) -> list[str]:
+    """Tables whose columns the text names."""
+    words = set(re.findall(r"[a-z_]+", text))
     needed = {t for t, prefix, _ in _JOINS if any(w.startswith(prefix) for w in words)}
     if "customer" in needed:
         needed.add("orders")
-    joins = "".join(f" join {t} on {on}" for t, _, on in _JOINS if t in needed)
-    return f"select {', '.join(f'{e} as {c}' for c, e in exprs.items())} from lineitem{joins}"
+    return ["lineitem", *[t for t, _, _ in _JOINS if t in needed]]
+
+
+def view_sql(
+    columns: Sequence[str], dialect: str = "duckdb", names: dict[str, str] | None = None
+) -> str:
+    """``select`` text of the pitch log; ``names`` replaces table names."""
+    names = names or {}
+    exprs = {c: EXPRESSIONS[c].format(weekday=_WEEKDAY[dialect]) for c in columns}
+    listed = ", ".join(f"{e} as {c}" for c, e in exprs.items())
+    tables = _tables(" ".join(exprs.values()))
+    joins = "".join(f" join {names.get(t, t)} on {on}" for t, _, on in _JOINS if t in tables)
+    return f"select {listed} from {names.get('lineitem', 'lineitem')}{joins}"
 
 
 def pitch_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """The pitch log as a DataFrame; no view is registered in the session."""
+    """The pitch log as a DataFrame; only files of the tables it needs are opened."""
     columns = list(columns or EXPRESSIONS)
-    tables = {
-        t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", *[j[0] for j in _JOINS])
-    }
-    sql = view_sql(columns, "spark")
-    used = {t: df for t, df in tables.items() if f" {t} on " in sql or t == "lineitem"}
-    for t in used:
-        sql = sql.replace(f"from {t}", f"from {{{t}}}").replace(f"join {t} on", f"join {{{t}}} on")
-    return spark.sql(sql, **used)
+    tables = _tables(" ".join(EXPRESSIONS[c] for c in columns))
+    sql = view_sql(columns, "spark", {t: f"{{{t}}}" for t in tables})
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
