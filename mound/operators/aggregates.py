@@ -186,17 +186,16 @@ def base_rate(train: DataFrame, label: str = LABEL) -> DataFrame:
     return train.agg(F.count("*").alias("n"), F.avg(F.col(label)).alias("base_rate"))
 
 
-def fit_league(train: DataFrame, label: str = LABEL) -> DataFrame:
-    """Label rate of all earlier seasons, one row per season up to one past the last."""
-    totals = train.groupBy("season").agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("k")
-    )
-    # One row per season from here on, whatever the table's size.
+def _league(seasons: DataFrame) -> DataFrame:
+    """Rate of all earlier seasons, for each season up to one past the last.
+
+    ``seasons`` has one row per season, so these windows are a handful of rows.
+    """
     by_season = Window.orderBy("season")
     so_far = by_season.rowsBetween(Window.unboundedPreceding, 0)
     following = F.coalesce(F.lead("season").over(by_season), F.col("season") + 1)
     return settle(
-        totals.select(
+        seasons.select(
             safe_rate(F.sum("k").over(so_far), F.sum("n").over(so_far)).alias("league_rate"),
             F.sequence(F.col("season") + 1, following).alias("__span"),
         ).select(F.explode("__span").alias("__for"), "league_rate")
@@ -206,9 +205,16 @@ def fit_league(train: DataFrame, label: str = LABEL) -> DataFrame:
 def fit_target_encoding(
     train: DataFrame, key: str, label: str = LABEL
 ) -> tuple[DataFrame, DataFrame]:
-    """Season-cumulative label counts of the key, and the league rates to fall back on."""
+    """Season-cumulative label counts of the key, and the league rates to fall back on.
+
+    Train is read once: the league's seasons are summed from the key's.
+    """
     sums = {"__n": F.lit(1), "__k": F.col(label).cast("int")}
-    return fit_history(train, key, ["season"], sums), fit_league(train, label)
+    by_key = fit_history(train, key, ["season"], sums, own=True)
+    seasons = by_key.groupBy(F.col("period").alias("season")).agg(
+        F.sum("own___n").alias("n"), F.sum("own___k").alias("k")
+    )
+    return by_key.drop("own___n", "own___k"), _league(seasons)
 
 
 def apply_target_encoding(

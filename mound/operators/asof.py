@@ -286,26 +286,30 @@ def period_number(period: Sequence[str]) -> Column:
 
 
 def fit_history(
-    history: DataFrame, key: str, period: Sequence[str], sums: dict[str, Column]
+    history: DataFrame,
+    key: str,
+    period: Sequence[str],
+    sums: dict[str, Column],
+    own: bool = False,
 ) -> DataFrame:
     """Cumulative sums per key with the periods they hold for.
 
     A row holds for periods after ``period`` up to ``next_period``; the last one has no
     end. One row per key and period, settled, ready for ``join_history_lagged``.
+    ``own`` keeps the sums of the period itself as ``own_*``.
     """
     w = Window.partitionBy(key).orderBy("period")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     table = (
         history.withColumn("period", period_number(period))
         .groupBy(key, "period")
-        .agg(*[F.sum(v).alias(c) for c, v in sums.items()])
-    )
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    return settle(
-        table.withColumns(
-            {c: F.sum(c).over(so_far) for c in sums}
+        .agg(*[F.sum(v).alias(f"own_{c}") for c, v in sums.items()])
+        .withColumns(
+            {c: F.sum(f"own_{c}").over(so_far) for c in sums}
             | {"next_period": F.lead("period").over(w)}
         )
     )
+    return settle(table if own else table.drop(*[f"own_{c}" for c in sums]))
 
 
 def join_history_lagged(

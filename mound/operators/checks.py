@@ -143,7 +143,7 @@ def check_asof(train: DataFrame, label: str = LABEL, block: int = ORDINAL_BLOCK)
     if all(c in train.columns for c in mix):
         total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in mix), F.lit(0.0))
         bad[("mix_sum", "asof_pitcher_pitchmix_n")] = total > 1 + 1e-9
-    rows = _count_each(train, bad)
+    # Per-row faults ride along as flags, so all counts come from one pass.
     n, rate = F.col("asof_pitcher_n"), F.col("asof_pitcher_success_rate")
     steps = train.select(
         "pitcher_id",
@@ -152,6 +152,7 @@ def check_asof(train: DataFrame, label: str = LABEL, block: int = ORDINAL_BLOCK)
         F.coalesce(F.round(n * rate), F.lit(0.0)).cast("long").alias("k"),
         F.col(label).cast("int").alias("label"),
         F.floor(n / F.lit(block)).alias("__block"),
+        *[c.alias(f"bad{i}") for i, c in enumerate(bad.values())],
     )
     steps = neighbour(
         steps, ["pitcher_id"], [["__block"], ["n", "row_id"]], ["n", "k"], "__next", step=1
@@ -162,9 +163,8 @@ def check_asof(train: DataFrame, label: str = LABEL, block: int = ORDINAL_BLOCK)
         "success_drop": dk < 0,
         "label_step": (dn == 1) & (dk != F.col("label")),
     }
-    return rows.unionByName(
-        _count_each(steps, {(name, "asof_pitcher_n"): c for name, c in along.items()})
-    )
+    flags = {pair: F.col(f"bad{i}") for i, pair in enumerate(bad)}
+    return _count_each(steps, flags | {(name, "asof_pitcher_n"): c for name, c in along.items()})
 
 
 def validate_submission(pred: DataFrame, template: DataFrame, label: str = LABEL) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mound.functions.scalars import clip_probability, safe_rate
 from mound.operators.aggregates import base_rate
+from mound.operators.attach import settle
 from mound.operators.ordered import running
 from mound.sources.schema import LABEL
 
@@ -32,38 +33,49 @@ def season_split(train: DataFrame, valid_season: int) -> tuple[DataFrame, DataFr
     )
 
 
-def auc(scored: DataFrame, score: str = SCORE, label: str = LABEL, blocks: int = 4096) -> DataFrame:
-    """Area under the curve, exact, from counts per distinct score.
+def score_counts(scored: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
+    """Positives and negatives per distinct score, settled: all metrics need no more."""
+    return settle(
+        scored.groupBy(F.col(score).cast("double").alias("p")).agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col(label) == 1).alias("pos"),
+            F.count_if(F.col(label) == 0).alias("neg"),
+        )
+    )
+
+
+def auc(counts: DataFrame, blocks: int = 4096) -> DataFrame:
+    """Area under the curve, exact, from ``score_counts``.
 
     A score's block is its place in [0, 1], so no task sees all distinct scores.
     """
-    p = F.col(score).cast("double")
-    counts = scored.filter(p.isNotNull()).groupBy(p.alias("p")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
     block = F.least(F.floor(F.col("p") * blocks), F.lit(blocks - 1))
-    ranked = running(
-        counts.withColumn("block", block), [], [["block"], ["p"]], {"below": F.col("neg")}
-    )
+    placed = counts.filter(F.col("p").isNotNull()).withColumn("block", block)
+    ranked = running(placed, [], [["block"], ["p"]], {"below": F.col("neg")})
     wins = F.col("pos").cast("double") * (F.col("below") + F.col("neg") / F.lit(2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.agg(safe_rate(F.sum(wins), pairs).alias("auc"))
 
 
-def losses(scored: DataFrame, score: str = SCORE, label: str = LABEL, eps: float = 1e-15) -> DataFrame:
-    """Row count, log-loss and Brier score in one pass."""
-    y = F.col(label).cast("double")
-    p = F.col(score).cast("double")
+def losses(counts: DataFrame, eps: float = 1e-15) -> DataFrame:
+    """Row count, log-loss and Brier score from ``score_counts``."""
+    p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
     safe = F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps))
-    log_loss = -F.avg(y * F.ln(safe) + (1.0 - y) * F.ln(1.0 - safe))
-    brier = F.avg((p - y) * (p - y))
-    return scored.agg(F.count("*").alias("n"), log_loss.alias("log_loss"), brier.alias("brier"))
+    known = F.sum(F.when(p.isNotNull(), pos + neg))
+    log_loss = -F.sum(pos * F.ln(safe) + neg * F.ln(1.0 - safe))
+    brier = F.sum(pos * (1.0 - p) * (1.0 - p) + neg * p * p)
+    return counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        safe_rate(log_loss, known).alias("log_loss"),
+        safe_rate(brier, known).alias("brier"),
+    )
 
 
 def metrics(scored: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
-    """Row count, log-loss, Brier score and AUC as one row."""
-    area = auc(scored, score, label).scalar()
-    return losses(scored, score, label).withColumn("auc", area)
+    """Row count, log-loss, Brier score and AUC as one row; reads the rows once."""
+    counts = score_counts(scored, score, label)
+    area = auc(counts).scalar()
+    return losses(counts).withColumn("auc", area)
 
 
 def reliability(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mound.functions.scalars import clip_probability, missing_flags
+from mound.operators.attach import settle
 from mound.operators.scoring import SCORE
 from mound.sources.schema import BANNED, LABEL
 
@@ -88,17 +89,21 @@ def fit(
     kind: str = "logistic",
     max_iter: int = 20,
 ) -> PipelineModel:
-    """Fit features and classifier on train; nothing of the test table goes in."""
+    """Fit features and classifier on train; nothing of the test table goes in.
+
+    The columns used are settled first: the fit passes over them many times and must
+    not compute them again each time, nor when an executor is lost.
+    """
     if kind == "logistic":
         learner = LogisticRegression(labelCol=LABEL, maxIter=max_iter)
     elif kind == "trees":
         learner = GBTClassifier(labelCol=LABEL, maxIter=max_iter, seed=7)
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    check_categories(train, categories)
-    used = train.select(*numbers, *rates, *categories, LABEL)
-    stages = feature_stages(numbers, rates, categories)
-    return Pipeline(stages=[*stages, learner]).fit(prepare(used, rates))
+    used = settle(train.select(*numbers, *rates, *categories, LABEL))
+    features = fit_features(used, numbers, rates, categories)
+    classifier = learner.fit(features.transform(prepare(used, rates)))
+    return PipelineModel(stages=[*features.stages, classifier])
 
 
 def score(
