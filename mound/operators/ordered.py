@@ -12,6 +12,7 @@ columns must not be null and the whole order must be unique within a key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ Levels = Sequence[Sequence[str]]
 
 # Above this many rows the rows of one key are cut into range blocks.
 GROUP_ROWS = 1_000_000
+# Range blocks of one table at most.
+MAX_PARTS = 10_000
 # Rows of one key that a sliding window handles in one group.
 BUCKET_ROWS = 4096
 
@@ -151,11 +154,14 @@ def split_if_large(
     wherever a partition ends, and the partition number becomes the block. Range bounds
     come from a sample, so the placed rows are settled before anything reads them twice.
     """
-    largest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    sizes = df.groupBy(*key).count().agg(F.max("count"), F.sum("count")).first()
+    largest, total = sizes[0] or 0, sizes[1] or 0
     if largest <= limit:
         return df, [list(order)]
-    placed = df.repartitionByRange(*key, *order).withColumn("__part", F.spark_partition_id())
-    return settle(placed), [["__part"], list(order)]
+    # A given number of parts: adaptive execution would merge small ones again.
+    parts = min(math.ceil(total / limit), MAX_PARTS)
+    placed = df.repartitionByRange(parts, *key, *order)
+    return settle(placed.withColumn("__part", F.spark_partition_id())), [["__part"], list(order)]
 
 
 def number_rows(df: DataFrame, key: Sequence[str], levels: Levels, name: str) -> DataFrame:
@@ -164,59 +170,75 @@ def number_rows(df: DataFrame, key: Sequence[str], levels: Levels, name: str) ->
     return counted.withColumn(name, (F.col(name) + 1).cast("int"))
 
 
+# Quantile blocks per doubling of a value.
+OCTAVE_BLOCKS = 256
+
+
 def quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    columns: Sequence[str],
-    probs: Sequence[float],
-    blocks: int = 1024,
+    df: DataFrame, group: Sequence[str], columns: Sequence[str], probs: Sequence[float]
 ) -> DataFrame:
     """Exact interpolated quantiles, one row per group and column.
 
-    Values are counted first (equal values collapse before the shuffle), cut into
-    equal-width blocks of the group's range, and the wanted ranks are read off the
-    running counts. No group, and not the whole table, is ever sorted in one task.
+    The first pass counts values per block of their logarithm, whatever their range. Only
+    the few blocks that hold a wanted rank are looked into by the second pass, where equal
+    values collapse before the shuffle. No group is ever sorted as a whole.
     """
     # As one struct the group also matches itself in joins where a column is null.
     labels = [F.struct(*group).alias("__group")] if group else []
     key = (["__group"] if group else []) + ["column"]
-    # NaN sorts above every number and would stretch the range.
-    clean = df.select(
-        *labels, *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]
-    )
-
-    def per_column(frame: DataFrame, fields: Callable[[str], list[Column]]) -> DataFrame:
-        stacked = F.array(*[F.struct(F.lit(c).alias("column"), *fields(c)) for c in columns])
-        kept = key[:-1]
-        return frame.select(*kept, F.explode(stacked).alias("__c")).select(*kept, "__c.*")
-
-    ranges = clean.groupBy(*key[:-1]).agg(
+    block = ["sign", "size"]
+    stacked = F.array(
         *[
-            F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("total")).alias(c)
+            # NaN is not a value here.
+            F.struct(
+                F.lit(c).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value")
+            )
             for c in columns
         ]
     )
-    ranges = settle(
-        per_column(ranges, lambda c: [F.col(f"{c}.{part}") for part in ("lo", "hi", "total")])
-    )
-    values = per_column(clean, lambda c: [F.col(c).alias("value")]).dropna(subset="value")
-    counts = values.groupBy(*key, "value").agg(F.count("*").alias("n"))
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(blocks))
-    block = F.least(F.floor((F.col("value") - F.col("lo")) / step), F.lit(blocks - 1))
-    placed = counts.join(ranges, key).withColumn("block", F.when(step > 0, block).otherwise(F.lit(0)))
-    ranked = running(
-        placed.drop("lo", "hi"), key, [["block"], ["value"]], {"before": F.col("n")}
+    # Logarithm and floor never change the order of two values of one sign.
+    octave = F.log2(F.abs("value")) * OCTAVE_BLOCKS
+    values = (
+        df.select(*labels, F.explode(stacked).alias("__c"))
+        .select(*key[:-1], "__c.*")
+        .dropna(subset="value")
+        .withColumn("sign", F.signum("value").cast("int"))
+        .withColumn("size", F.when(F.col("sign") == 0, 0).otherwise(F.col("sign") * F.floor(octave)))
     )
 
-    def at(rank: Column) -> Column:
-        hit = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
-        return F.max(F.when(hit, F.col("value")))
+    def ranks(p: float) -> tuple[Column, Column, Column]:
+        position = F.lit(float(p)) * (F.col("total") - 1)
+        return F.floor(position), F.ceil(position), position - F.floor(position)
+
+    def holds(rank: Column) -> Column:
+        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
 
+    whole = Window.partitionBy(*key)
+    blocks = values.groupBy(*key, *block).agg(F.count("*").alias("n")).withColumns(
+        {
+            "before": F.coalesce(F.sum("n").over(whole.orderBy(*block).rowsBetween(*_BEFORE)), F.lit(0)),
+            "total": F.sum("n").over(whole),
+        }
+    )
+    wanted = F.lit(False)
+    for p in probs:
+        low, high, _ = ranks(p)
+        wanted = wanted | holds(low) | holds(high)
+    blocks = settle(blocks.filter(wanted).drop("n").withColumnRenamed("before", "skipped"))
+    inside = Window.partitionBy(*key, *block).orderBy("value").rowsBetween(*_BEFORE)
+    ranked = (
+        values.join(blocks, key + block)
+        .groupBy(*key, *block, "value", "skipped", "total")
+        .agg(F.count("*").alias("n"))
+        .withColumn("before", F.col("skipped") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    )
     picked, final = [], []
     for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("total") - 1)
-        picked += [at(F.floor(position)).alias(f"__lo{i}"), at(F.ceil(position)).alias(f"__hi{i}")]
-        share = position - F.floor(position)
+        low, high, share = ranks(p)
+        picked += [
+            F.max(F.when(holds(rank), F.col("value"))).alias(f"__{side}{i}")
+            for side, rank in (("lo", low), ("hi", high))
+        ]
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         final.append((lo + (hi - lo) * share).alias(f"q{round(p * 100):02d}"))
     out = ranked.groupBy(*key, "total").agg(*picked)

@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 ORDER = list(asof.ORDER)
 TEST_SEASON = 2001
+NUDGE = 1e-9
 STATE = [
     "inning", "top_bottom", "balls_before", "strikes_before", "outs_before", "run_top_before",
     "run_bot_before", "runner_on_1b", "runner_on_2b", "runner_on_3b",
@@ -146,7 +147,7 @@ def _rolling(spark: SparkSession, sf: str) -> DataFrame:
         "last20_n",
         "last20_success",
         "last20_max_speed",
-        F.round("last20_avg_speed", 6).alias("last20_avg_speed"),
+        F.round(F.col("last20_avg_speed") + NUDGE, 6).alias("last20_avg_speed"),
     )
 
 
@@ -433,7 +434,8 @@ def _mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 4) for c in columns})
+    """Six digits, nudged off exact halves: engines add doubles in different orders."""
+    return df.withColumns({c: F.round(F.col(c) + NUDGE, 6) for c in columns})
 
 
 SPEEDS = ["rel_speed", "zone_speed"]

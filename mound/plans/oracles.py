@@ -204,9 +204,9 @@ def _select(columns: Sequence[str], body: str) -> str:
 
 def _profile(key: str) -> str:
     lines = [
-        f"select {key}, '{c}' as \"column\", count({c}) as n, round(avg({c}), 4) as mean,"
-        f" round(stddev_samp({c}), 4) as stddev, round(quantile_cont({c}, 0.1), 4) as q10,"
-        f" round(quantile_cont({c}, 0.5), 4) as q50, round(quantile_cont({c}, 0.9), 4) as q90"
+        f"select {key}, '{c}' as \"column\", count({c}) as n, round(avg({c}) + 1e-9, 6) as mean,"
+        f" round(stddev_samp({c}) + 1e-9, 6) as stddev, round(quantile_cont({c}, 0.1) + 1e-9, 6) as q10,"
+        f" round(quantile_cont({c}, 0.5) + 1e-9, 6) as q50, round(quantile_cont({c}, 0.9) + 1e-9, 6) as q90"
         f" from p group by {key}"
         for c in ("rel_speed", "zone_speed")
     ]
@@ -216,7 +216,7 @@ def _profile(key: str) -> str:
 def _arsenal() -> str:
     groups = schema.PITCH_GROUPS
     averages = ", ".join(
-        f"round(avg({c}) filter (where pitch_type_group = '{g}'), 4) as {g}_{suffix}"
+        f"round(avg({c}) filter (where pitch_type_group = '{g}') + 1e-9, 6) as {g}_{suffix}"
         for g in groups
         for c, suffix in (("rel_speed", "speed"), ("zone_speed", "plate"))
     )
@@ -369,7 +369,7 @@ def build() -> dict[str, str]:
         f"select row_id, count(control_success) over {last20} as last20_n,"
         f" cast(sum(control_success) over {last20} as bigint) as last20_success,"
         f" max(rel_speed) over {last20} as last20_max_speed,"
-        f" round(avg(rel_speed) over {last20}, 6) as last20_avg_speed from p",
+        f" round(avg(rel_speed) over {last20} + 1e-9, 6) as last20_avg_speed from p",
     )
     out["w23_expanding_by_period"] = _with(
         ["season", "game_month", "pitcher_team_id", "control_success"],
@@ -588,8 +588,8 @@ def build() -> dict[str, str]:
     out["a11_quantiles"] = _with(
         ["season", "rel_speed", "zone_speed"],
         " union all ".join(
-            f"select '{c}' as \"column\", round(quantile_cont({c}, 0.25), 4) as q25,"
-            f" round(quantile_cont({c}, 0.5), 4) as q50, round(quantile_cont({c}, 0.75), 4) as q75"
+            f"select '{c}' as \"column\", round(quantile_cont({c}, 0.25) + 1e-9, 6) as q25,"
+            f" round(quantile_cont({c}, 0.5) + 1e-9, 6) as q50, round(quantile_cont({c}, 0.75) + 1e-9, 6) as q75"
             f" from p where season < {TEST_SEASON}"
             for c in ("rel_speed", "zone_speed")
         ),
