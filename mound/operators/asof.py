@@ -159,7 +159,7 @@ def game_features_to_pitches(
     log: DataFrame, games: DataFrame, key: str, game: Sequence[str] = GAME
 ) -> DataFrame:
     """Give every pitch the values of its player's game."""
-    return log.join(games, [key, *game])
+    return log.join(games, [key, *game], "left")
 
 
 def asof_features(
@@ -196,8 +196,8 @@ def asof_features(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     out = log.withColumns({c: F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in sums.items()})
-    out = out.join(games, [key, *GAME]).withColumns(
-        {c: F.col(c) + F.col(f"__before_{c}") for c in sums}
+    out = out.join(games, [key, *GAME], "left").withColumns(
+        {c: F.col(c) + F.coalesce(f"__before_{c}", F.lit(0)) for c in sums}
     )
     out = _to_rates(out.drop(*before), "pitcher", outcomes, MIX)
     return asof_rates(out, "batter_id", "batter", BATTER_OUTCOMES, source=log)

@@ -6,8 +6,9 @@ blocks before it comes from one summary row per (key, block), made by a partiall
 aggregated ``groupBy`` and carried by a window over those summaries.
 
 ``levels`` is the order, coarse to fine: the columns of all but the last level name the
-block, e.g. ``[["game_date"], ["game_id", "pitch_no", "row_id"]]``. Key and order
-columns must not be null and the whole order must be unique within a key.
+block, e.g. ``[["game_date"], ["game_id", "pitch_no", "row_id"]]``. The whole order must
+be unique within a key. Key and block columns are not null by contract; a row that breaks
+it is kept, but sees its own block only.
 """
 
 from __future__ import annotations
@@ -60,9 +61,12 @@ def running(
     carried = running(
         totals, key, levels[:-1], {f"__before_{name}": F.col(f"__{name}") for name in sums}
     ).select(*key, *block, *[f"__before_{name}" for name in sums])
-    return out.join(carried, key + block).select(
+    return out.join(carried, key + block, "left").select(
         *[c for c in out.columns if c not in sums],
-        *[(F.col(name) + F.col(f"__before_{name}")).alias(name) for name in sums],
+        *[
+            (F.col(name) + F.coalesce(f"__before_{name}", F.lit(0))).alias(name)
+            for name in sums
+        ],
     )
 
 
@@ -87,7 +91,7 @@ def neighbour(
     )
     across = Window.partitionBy(*key).orderBy(*block)
     beyond = edges.select(*key, *block, shift("__edge").over(across).alias("__beyond"))
-    return out.join(beyond, key + block).select(
+    return out.join(beyond, key + block, "left").select(
         *[c for c in out.columns if c != name],
         F.coalesce(name, "__beyond").alias(name),
     )
@@ -109,7 +113,7 @@ def last_before(
     carried = lasts.select(
         *key, *block, F.last("__last", ignorenulls=True).over(across).alias("__carried")
     )
-    return out.join(carried, key + block).select(
+    return out.join(carried, key + block, "left").select(
         *[c for c in out.columns if c != name],
         F.coalesce(name, "__carried").alias(name),
     )

@@ -246,6 +246,17 @@ def test_quantiles_are_exact(spark):
             assert got[g][f"q{round(p * 100):02d}"] == pytest.approx(want)
 
 
+def test_rows_without_a_player_are_kept(spark):
+    pitches = random_log(60)
+    lost = [("n" + p[0], *p[1:4], None, None, *p[6:]) for p in pitches[:10]]
+    log = make_log(spark, pitches + lost)
+    out = asof.asof_features(log)
+    assert out.count() == 70 and out.select("row_id").distinct().count() == 70
+    names = ["row_id", "asof_pitcher_n", "asof_batter_n", "asof_pitcher_prev1_game_success_rate"]
+    known = out.filter("pitcher_id is not null").select(names)
+    assert known.exceptAll(asof.asof_features(make_log(spark, pitches)).select(names)).count() == 0
+
+
 def test_unknown_pooling(spark):
     with pytest.raises(ValueError):
         asof.prev_games(games_log(spark), "pitcher_id", "pitcher", {"success": "control_success"}, how="x")
