@@ -43,7 +43,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    spark = build_session(f"local[{cpus}]", max(cpus, 8))
+    spark = build_session(f"local[{cpus}]", max(cpus, 8), "12g")
     spark.sparkContext.setLogLevel("ERROR")
 
     def run(name: str) -> float:

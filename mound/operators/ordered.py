@@ -149,19 +149,25 @@ def sliding(
 
 
 def split_if_large(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], limit: int = GROUP_ROWS
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    limit: int = GROUP_ROWS,
+    block: Sequence[str] = (),
 ) -> tuple[DataFrame, list[list[str]]]:
-    """Levels for a key that has no coarse order column of its own.
+    """Levels for a key without a coarse order column, or with one that may not do.
 
-    The largest group is counted first. If one task can take it, the order stands as it
-    is. Otherwise rows are range-partitioned by key and order, which cuts a large key
-    wherever a partition ends, and the partition number becomes the block. Range bounds
-    come from a sample, so the placed rows are settled before anything reads them twice.
+    The largest group of key and ``block`` (leading order columns) is counted first. If
+    one task can take it, that block stands. Otherwise rows are range-partitioned by key
+    and order, which cuts a large key wherever a partition ends, and the partition number
+    becomes the block. Range bounds come from a sample, so the placed rows are settled
+    before anything reads them twice.
     """
-    sizes = df.groupBy(*key).count().agg(F.max("count"), F.sum("count")).first()
+    sizes = df.groupBy(*key, *block).count().agg(F.max("count"), F.sum("count")).first()
     largest, total = sizes[0] or 0, sizes[1] or 0
     if largest <= limit:
-        return df, [list(order)]
+        rest = [c for c in order if c not in block]
+        return df, [list(block), rest] if block else [rest]
     # A given number of parts: adaptive execution would merge small ones again.
     parts = min(math.ceil(total / limit), MAX_PARTS)
     placed = df.repartitionByRange(parts, *key, *order)
@@ -185,7 +191,8 @@ def quantiles(
 
     The first pass counts values per block of their logarithm, whatever their range. Only
     the few blocks that hold a wanted rank are looked into by the second pass, where equal
-    values collapse before the shuffle. No group is ever sorted as a whole.
+    values collapse before the shuffle. No group is sorted as a whole, and a block with too
+    many different values is cut again.
     """
     # As one struct the group also matches itself in joins where a column is null.
     labels = [F.struct(*group).alias("__group")] if group else []
@@ -229,13 +236,14 @@ def quantiles(
         low, high, _ = ranks(p)
         wanted = wanted | holds(low) | holds(high)
     blocks = settle(blocks.filter(wanted).drop("n").withColumnRenamed("before", "skipped"))
-    inside = Window.partitionBy(*key, *block).orderBy("value").rowsBetween(*_BEFORE)
-    ranked = (
+    chosen = settle(
         values.join(blocks, key + block)
         .groupBy(*key, *block, "value", "skipped", "total")
         .agg(F.count("*").alias("n"))
-        .withColumn("before", F.col("skipped") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     )
+    chosen, levels = split_if_large(chosen, key + block, ["value"])
+    ranked = running(chosen, key + block, levels, {"before": F.col("n")})
+    ranked = ranked.withColumn("before", F.col("before") + F.col("skipped"))
     picked, final = [], []
     for i, p in enumerate(probs):
         low, high, share = ranks(p)

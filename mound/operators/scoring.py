@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mound.functions.scalars import clip_probability, safe_rate
 from mound.operators.aggregates import base_rate
 from mound.operators.attach import settle
-from mound.operators.ordered import running
+from mound.operators.ordered import GROUP_ROWS, running, split_if_large
 from mound.sources.schema import LABEL
 
 SCORE = "score"
@@ -44,14 +44,15 @@ def score_counts(scored: DataFrame, score: str = SCORE, label: str = LABEL) -> D
     )
 
 
-def auc(counts: DataFrame, blocks: int = 4096) -> DataFrame:
+def auc(counts: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     """Area under the curve, exact, from ``score_counts``.
 
-    A score's block is its place in [0, 1], so no task sees all distinct scores.
+    Above ``limit`` distinct scores their running counts are taken in range blocks, so
+    scores crowded into a narrow range still spread over tasks.
     """
-    block = F.least(F.floor(F.col("p") * blocks), F.lit(blocks - 1))
-    placed = counts.filter(F.col("p").isNotNull()).withColumn("block", block)
-    ranked = running(placed, [], [["block"], ["p"]], {"below": F.col("neg")})
+    known = counts.filter(F.col("p").isNotNull())
+    known, levels = split_if_large(known, [], ["p"], limit)
+    ranked = running(known, [], levels, {"below": F.col("neg")})
     wins = F.col("pos").cast("double") * (F.col("below") + F.col("neg") / F.lit(2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.agg(safe_rate(F.sum(wins), pairs).alias("auc"))

@@ -267,8 +267,10 @@ def _allowed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t1_chronological")
 def _chronological(spark: SparkSession, sf: str) -> DataFrame:
-    log = pitch_view(spark, sf, ORDER)
-    return asof.chronological(ordered.number_rows(log, [], asof.LEVELS, "position"))
+    # The position shows the order in a comparison that ignores the order of rows.
+    log, levels = ordered.split_if_large(pitch_view(spark, sf, ORDER), [], ORDER)
+    numbered = ordered.number_rows(log, [], levels, "position")
+    return asof.chronological(numbered.select(*ORDER, "position"))
 
 
 @query("t2_format_sample")

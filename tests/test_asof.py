@@ -178,6 +178,18 @@ def test_pitch_numbers_of_a_large_game(spark, limit):
         assert turns[p[0]] == (pa, at)
 
 
+@pytest.mark.parametrize("limit, block", [(10**6, ["game_date"]), (3, ["__part"])])
+def test_levels_of_a_crowded_day(spark, limit, block):
+    log = make_log(spark, random_log(150))
+    split, levels = split_if_large(log, ["pitcher_id"], asof.ORDER, limit, block=["game_date"])
+    assert levels[0] == block
+    names = ["row_id", "asof_pitcher_n", "asof_pitcher_success_rate"]
+    picked = {"success": "control_success"}
+    got = asof.asof_rates(split, "pitcher_id", "pitcher", picked, levels=levels).select(names)
+    want = asof.asof_rates(log, "pitcher_id", "pitcher", picked).select(names)
+    assert got.count() == 150 and got.exceptAll(want).count() == 0
+
+
 def test_range_blocks_cut_a_large_key(spark):
     df = spark.range(4000).selectExpr("1 as k", "id % 50 as v", "id")
     split, levels = split_if_large(df, ["k"], ["v", "id"], limit=100)

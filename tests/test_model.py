@@ -95,6 +95,16 @@ def test_metrics_by_hand(spark):
     assert got.n == 6
 
 
+@pytest.mark.parametrize("limit", [10**6, 7])
+def test_auc_of_crowded_scores(spark, limit):
+    rng = random.Random(4)
+    data = [(0.5 + rng.randrange(60) * 1e-9, rng.randrange(2)) for _ in range(300)]
+    counts = scoring.score_counts(spark.createDataFrame(data, f"score double, {LABEL} int"))
+    pairs = [(p, q) for p, y in data if y for q, z in data if not z]
+    want = sum((p > q) + (p == q) / 2 for p, q in pairs) / len(pairs)
+    assert scoring.auc(counts, limit).first().auc == pytest.approx(want)
+
+
 def test_isotonic_matches_pooling(spark):
     rng = random.Random(2)
     data = [(rng.randrange(40) / 40, int(rng.random() < 0.3 + 0.01 * rng.randrange(40))) for _ in range(400)]
