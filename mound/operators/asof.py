@@ -313,17 +313,34 @@ def fit_history(
 
 
 def join_history_lagged(
-    rows: DataFrame, fitted: DataFrame, key: str, period: Sequence[str], fitted_key: str | None = None
+    rows: DataFrame,
+    fitted: DataFrame,
+    key: str,
+    period: Sequence[str],
+    fitted_key: str | None = None,
 ) -> DataFrame:
-    """Attach history of strictly earlier periods; at most one match per row."""
-    h = fitted.withColumnRenamed(fitted_key or key, "__key")
+    """Attach history of strictly earlier periods; at most one match per row.
+
+    A fitted row is repeated for each season it holds in, the last one up to the season
+    after all history, where all later rows look as well. So the join is on key and
+    season: a busy key spreads over its seasons, and only months within one are compared.
+    """
+    by_month = len(period) > 1
+    season = (lambda c: F.floor(F.col(c) / 100).cast("int")) if by_month else F.col
+    last = fitted.agg(F.max(season("period"))).first()[0] or 0
+    end = F.coalesce(season("next_period"), F.lit(last + 1))
+    start = season("period") if by_month else F.col("period") + 1
+    h = fitted.withColumnRenamed(fitted_key or key, "__key").withColumn(
+        "__held", F.explode(F.sequence(start, end))
+    )
     now = period_number(period)
     match = (
         (F.col(key) == F.col("__key"))
+        & (F.least(F.col(period[0]), F.lit(last + 1)) == F.col("__held"))
         & (F.col("period") < now)
         & (F.col("next_period").isNull() | (now <= F.col("next_period")))
     )
-    return attach(rows, h, match, settled=True).drop("__key", "period", "next_period")
+    return attach(rows, h, match, settled=True).drop("__key", "__held", "period", "next_period")
 
 
 def asof_join(

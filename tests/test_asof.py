@@ -231,6 +231,29 @@ def test_lagged_history(spark, rows):
     ]
 
 
+def test_lagged_history_by_month(spark):
+    periods = [(2019, 4), (2019, 9), (2021, 3), (2021, 12)]
+    history = spark.createDataFrame(
+        [("a", y, m, 1) for y, m in periods], "pitcher_id string, season int, game_month int, k int"
+    )
+    by = ["season", "game_month"]
+    fitted = asof.fit_history(history, "pitcher_id", by, {"hist_k": F.col("k")})
+    asked = [("a", y, m) for y in range(2018, 2026) for m in range(1, 13)]
+    rows = spark.createDataFrame(asked, "pitcher_id string, season int, game_month int")
+    out = asof.join_history_lagged(rows, fitted, "pitcher_id", by).collect()
+    assert len(out) == len(asked)
+    for r in out:
+        assert (r.hist_k or 0) == sum(p < (r.season, r.game_month) for p in periods)
+
+
+def test_no_history_at_all(spark):
+    rows = make_log(spark, [pitch(0, 0, 1, 1, 1)])
+    fitted = asof.fit_history(
+        rows.filter("false"), "pitcher_id", ["season"], {"k": F.col("control_success")}
+    )
+    assert asof.join_history_lagged(rows, fitted, "pitcher_id", ["season"]).first().k is None
+
+
 def test_asof_join_is_strict(spark, rows):
     left = spark.createDataFrame([(1, "u", 10), (2, "u", 20), (3, "v", 20)], "event_id int, k string, t int")
     right = spark.createDataFrame(
