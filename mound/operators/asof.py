@@ -15,10 +15,10 @@ from mound.operators.ordered import (
     Levels,
     last_before,
     neighbour,
+    number_rows,
     running,
     sliding,
     split_if_large,
-    number_rows,
 )
 from mound.sources.schema import PITCH_GROUPS
 
@@ -351,21 +351,23 @@ def asof_join(
     columns: Sequence[str],
     tie: str,
     block: Column | None = None,
+    limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add to each left row ``columns`` of the last right row strictly before it.
 
     Both sides become one sequence per key, cut into hours unless ``block`` says
-    otherwise; at equal time left rows come first, so a right row never sees itself.
-    ``tie`` orders right rows of the same time.
+    otherwise, and finer where an hour of one key passes ``limit`` rows. At equal time
+    left rows come first, so a right row never sees itself; ``tie`` orders right rows of
+    the same time.
     """
     block = F.date_trunc("hour", ts) if block is None else block
     value = F.struct(*columns).alias("__value")
     rights = right.select(key, ts, tie, value).withColumn("__side", F.lit(1))
     lefts = left.withColumn("__side", F.lit(0))
     both = lefts.unionByName(rights, allowMissingColumns=True).withColumn("__block", block)
-    found = last_before(
-        both, [key], [["__block"], [ts, "__side", tie]], "__value", "__found"
-    )
+    order = [ts, "__side", tie]
+    both, levels = split_if_large(both, [key], ["__block", *order], limit, ["__block"])
+    found = last_before(both, [key], levels, "__value", "__found")
     return found.filter(F.col("__side") == 0).select(
         *[F.col(c) for c in left.columns],
         *[F.col(f"__found.{c}").alias(f"asof_{c}") for c in columns],

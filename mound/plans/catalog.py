@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mound.functions import scalars, state
 from mound.operators import aggregates, asof, checks, filters, joins, ordered, scoring
-from mound.operators.attach import pitch_group, shared_folder
+from mound.operators.attach import pitch_group, settle, shared_folder
 from mound.plans import flows, model
 from mound.plans.pitch_view import pitch_view
 from mound.sources import files, schema
@@ -630,7 +630,8 @@ def _model_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
     out = asof.asof_rates(log, "pitcher_id", "pitcher", {"success": LABEL})
     out = asof.asof_rates(out, "batter_id", "batter", {"success": LABEL}, source=log)
-    return scoring.season_split(out, TEST_SEASON)
+    # Train and test season read the same feature table.
+    return scoring.season_split(settle(out), TEST_SEASON)
 
 
 @query("m3_feature_pipeline")

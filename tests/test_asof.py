@@ -259,8 +259,9 @@ def test_asof_join_is_strict(spark, rows):
     right = spark.createDataFrame(
         [(7, "u", 10, 1.0), (8, "u", 15, 2.0), (9, "u", 20, 3.0)], "event_id int, k string, t int, v double"
     )
-    for width in (1, 7, 1000):
-        out = asof.asof_join(left, right, "k", "t", ["v"], "event_id", F.floor(F.col("t") / width))
+    for width, limit in ((1, 100), (7, 100), (1000, 100), (1000, 1)):
+        block = F.floor(F.col("t") / width)
+        out = asof.asof_join(left, right, "k", "t", ["v"], "event_id", block, limit)
         assert rows(out, "event_id", "asof_v") == [(1, None), (2, 2.0), (3, None)]
 
 
