@@ -98,7 +98,7 @@ def game_seq(log: DataFrame, key: str, game: Sequence[str] = GAME) -> DataFrame:
     """Ordinal of each game of a player, first = 1; one row per player and game."""
     games = log.groupBy(key, *game).agg(F.count("*").alias("n"))
     seq = running(games, [key], [game[:1], game[1:]], {"game_seq": F.lit(1)})
-    return seq.withColumn("game_seq", (F.col("game_seq") + 1).cast("int"))
+    return seq.withColumn("game_seq", F.col("game_seq") + 1)
 
 
 def _prev_columns(
@@ -235,11 +235,11 @@ def pitch_of_pa(
     flagged = seen.withColumn("__start", starts).drop("__prev")
     numbered = running(
         flagged, [game], levels, {"pa_no": F.col("__start"), "__row": F.lit(1)}
-    ).withColumn("pa_no", (F.col("pa_no") + F.col("__start")).cast("int"))
+    ).withColumn("pa_no", F.col("pa_no") + F.col("__start"))
     numbered = numbered.withColumn("__first", F.when(F.col("__start") == 1, F.struct("__row")))
     begun = last_before(numbered, [game], levels, "__first", "__begun")
     first_row = F.when(F.col("__start") == 1, F.col("__row")).otherwise(F.col("__begun.__row"))
-    return begun.withColumn("pitch_of_pa", (F.col("__row") - first_row + 1).cast("int")).drop(
+    return begun.withColumn("pitch_of_pa", F.col("__row") - first_row + 1).drop(
         "__start", "__row", "__first", "__begun", "__part"
     )
 

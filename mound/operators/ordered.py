@@ -177,7 +177,7 @@ def split_if_large(
 def number_rows(df: DataFrame, key: Sequence[str], levels: Levels, name: str) -> DataFrame:
     """Add the position of a row in its key, first = 1."""
     counted = running(df, key, levels, {name: F.lit(1)})
-    return counted.withColumn(name, (F.col(name) + 1).cast("int"))
+    return counted.withColumn(name, F.col(name) + 1)
 
 
 # Quantile blocks per doubling of a value.

@@ -355,12 +355,12 @@ def build() -> dict[str, str]:
     )
     out["w20_pitch_no"] = _with(
         ["row_id", "game_id", "pitch_no"],
-        "select row_id, game_id, cast(row_number() over (partition by game_id"
-        " order by pitch_no, row_id) as int) as pitch_seq from p",
+        "select row_id, game_id, row_number() over (partition by game_id"
+        " order by pitch_no, row_id) as pitch_seq from p",
     )
     out["w21_pitch_of_pa"] = _with(
         ["row_id", "game_id", "pitch_no", "inning", "top_bottom", "batter_id"],
-        "select row_id, cast(pa as int) as pa_no, cast(pitch_of_pa as int) as pitch_of_pa from e",
+        "select row_id, cast(pa as bigint) as pa_no, pitch_of_pa from e",
         *_appearances(False),
     )
     last20 = f"(partition by pitcher_id order by {BY} rows between 20 preceding and 1 preceding)"
@@ -382,7 +382,7 @@ def build() -> dict[str, str]:
     )
     out["w24_game_seq"] = _with(
         ["pitcher_id", "game_date", "game_id"],
-        "select pitcher_id, game_date, game_id, count(*) as n, cast(max(seq) as int) as game_seq"
+        "select pitcher_id, game_date, game_id, count(*) as n, max(seq) as game_seq"
         " from (select *, dense_rank() over (partition by pitcher_id order by game_date, game_id)"
         " as seq from p) group by all",
     )
@@ -466,7 +466,7 @@ def build() -> dict[str, str]:
     )
     out["f4_allowed_features"] = _with(STATE, "select * from p")
     out["t1_chronological"] = _with(
-        ORDER, f"select *, cast(row_number() over (order by {BY}) as int) as position from p"
+        ORDER, f"select *, row_number() over (order by {BY}) as position from p"
     )
     out["t2_format_sample"] = _with(
         ["row_id", "season", "inning"], "select * from p order by row_id limit 5"
