@@ -9,6 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# A compressed file may be small and its rows many: both are limited.
+BROADCAST_ROWS = 1_000_000
+
 _own_folder: dict[str, str] = {}
 
 
@@ -46,12 +49,15 @@ def attach(
 ) -> DataFrame:
     """Join a fitted table onto rows.
 
-    No broadcast hint: the table is settled, so Spark compares its file size with
-    ``spark.sql.autoBroadcastJoinThreshold``. Below it the rows stay where they are;
-    above it the join shuffles and adaptive execution splits a key with too many rows.
+    The table is settled and counted. Up to ``BROADCAST_ROWS`` rows Spark may broadcast it,
+    if its files are below ``spark.sql.autoBroadcastJoinThreshold`` too: the rows then stay
+    where they are. Otherwise both sides are shuffled, and adaptive execution splits the
+    partitions of a key with too many rows.
     """
     if not settled:
         table = settle(table)
+    if table.count() > BROADCAST_ROWS:
+        table = table.hint("merge")
     return rows.join(table, on if isinstance(on, Column) else list(on), how)
 
 

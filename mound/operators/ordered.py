@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mound.operators.attach import settle
+from mound.operators.attach import attach, settle
 
 Levels = Sequence[Sequence[str]]
 
@@ -237,7 +237,7 @@ def quantiles(
         wanted = wanted | holds(low) | holds(high)
     blocks = settle(blocks.filter(wanted).drop("n").withColumnRenamed("before", "skipped"))
     chosen = settle(
-        values.join(blocks, key + block)
+        attach(values, blocks, key + block, "inner", settled=True)
         .groupBy(*key, *block, "value", "skipped", "total")
         .agg(F.count("*").alias("n"))
     )

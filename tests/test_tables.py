@@ -177,6 +177,16 @@ def test_large_tables_join_by_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_many_rows_are_not_broadcast(spark, monkeypatch, capsys):
+    monkeypatch.setattr("mound.operators.attach.BROADCAST_ROWS", 10)
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) as k")
+    table = spark.range(50).selectExpr("id as k", "id * 2 as v")
+    joined = attach(rows, table, ["k"])
+    joined.explain()
+    assert "SortMergeJoin" in capsys.readouterr().out
+    assert joined.filter("v = 2 * k").count() == 3000
+
+
 def test_shared_folder_comes_from_the_session():
     def session(named, master):
         context = SimpleNamespace(
