@@ -72,8 +72,10 @@ def main(argv: list[str]) -> int:
             if "-v" in argv:
                 traceback.print_exc()
         failed += bool(bad)
-        print(f"{'FAIL' if bad else 'ok  '} {time.time() - start:6.2f}s {name} {'' if name in sqls else '(rows only)'} {bad or ''}", flush=True)
-    print("missing sql:", sorted(set(queries()) - set(sqls)), "stray sql:", sorted(set(sqls) - set(queries())))
+        verdict, kind = "FAIL" if bad else "ok  ", "" if name in sqls else "(rows only)"
+        print(f"{verdict} {time.time() - start:6.2f}s {name} {kind} {bad or ''}", flush=True)
+    have, want = set(queries()), set(sqls)
+    print("missing sql:", sorted(have - want), "stray sql:", sorted(want - have))
     return failed
 
 

@@ -50,7 +50,10 @@ def test_logistic_coefficients(train, fitted):
 
 
 def test_unseen_category_and_missing_rate_still_score(spark, fitted):
-    rows = spark.createDataFrame([("n", 0.0, None, "S"), ("m", 0.0, 0.5, None)], "row_id string, x double, rate double, hand string")
+    rows = spark.createDataFrame(
+        [("n", 0.0, None, "S"), ("m", 0.0, 0.5, None)],
+        "row_id string, x double, rate double, hand string",
+    )
     assert model.score(fitted, rows, ["rate"]).filter("score between 0 and 1").count() == 2
 
 
