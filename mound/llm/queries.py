@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mound.llm import toxicity
+from mound.llm import mixing, sharding, toxicity, url_filter
 from mound.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixing.rated(docs).select("doc_id", "size", "source_size", "target", taken)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard_documents(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+}
