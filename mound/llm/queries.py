@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mound.llm import mixing, sharding, toxicity, url_filter
+from mound.llm import mixing, sharding, simhash, toxicity, url_filter
 from mound.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    out = simhash.groups(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"))
@@ -43,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op6_simhash": op6_simhash,
     "op10_url_filter": op10_url_filter,
 }
 
