@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mound.llm import mixing, sharding, simhash, toxicity, url_filter
+from mound.llm import ann_tree, exact_topk, mixing, sharding, simhash, toxicity, url_filter
 from mound.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector."""
+    return exact_topk.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op5_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found vectors of every hundredth vector."""
+    return ann_tree.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     out = simhash.groups(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -49,6 +59,8 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_exact_topk": op4_exact_topk,
+    "op5_ann_tree": op5_ann_tree,
     "op6_simhash": op6_simhash,
     "op10_url_filter": op10_url_filter,
 }
