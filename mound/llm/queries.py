@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mound.llm import ann_tree, exact_topk, mixing, sentencepiece_codec, sharding, simhash, toxicity, url_filter
+from mound.llm import ann_tree, exact_topk, mixing, pii, sentencepiece_codec, sharding, simhash, toxicity, url_filter
 from mound.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they agree with the library's and decode to the text."""
     out = sentencepiece_codec.encode(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op4_exact_topk": op4_exact_topk,
     "op5_ann_tree": op5_ann_tree,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_url_filter": op10_url_filter,
 }

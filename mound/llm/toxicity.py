@@ -36,7 +36,7 @@ from mound.llm.tables import row_hash, text_of
 DECAY = 0.8
 SPAN = 7
 LANDMARKS = 256
-FIT_TEXTS = 2_000
+FIT_TEXTS = 1_500
 ROUNDS = 6
 CLEAN_STRINGS = 8_000
 COST = 10.0
@@ -226,49 +226,51 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TE
     alphabet = Alphabet(marks)
     values, vectors = np.linalg.eigh(kernel(alphabet, marks, marks).astype(np.float64))
     keep = values > 1e-3 * values.max()
-    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    x = kernel(alphabet, words, marks) @ whiten
+    whiten = vectors[:, keep] / np.sqrt(values[keep])
+
+    def features(some: list[str]) -> np.ndarray:
+        return kernel(alphabet, some, marks).astype(np.float64) @ whiten
+
+    def model_of(w: np.ndarray) -> Model:
+        table = np.zeros(alphabet.size**3)
+        beta = whiten @ w[:-1]
+        for at, c, weights in alphabet.subsequences(marks):
+            np.add.at(table, c, beta[at][:, None] * weights[None, :])
+        return Model(alphabet, table.astype(np.float32), float(w[-1]), 1.0, 0.0)
 
     def worst(margin: np.ndarray) -> np.ndarray:
         return np.array([b[margin[b].argmax()] if len(b) else -1 for b in bags])
 
-    # The first guess at the string that makes a text toxic: the one with the best odds.
-    rank = np.zeros(len(words))
+    # The first guess at the string that makes a text toxic: the one with the best odds, or likest to all.
+    first = model_of(np.append(features(marks).sum(0), 0.0)).margins(words)
+    rank = first / max(1e-9, abs(first).max())
     for i, m in enumerate(marks):
         if m in number:
-            rank[number[m]] = len(marks) - i
-    rank = np.where(rank > 0, rank, x @ (x * rank[:, None]).sum(0) * 1e-9)
+            rank[number[m]] = 1 + len(marks) - i
     chosen = worst(rank)
     clean = sorted({i for b, label in zip(bags, y) if label < 0 for i in b})
-    negatives = {int(i) for i in worst(rank)[y < 0] if i >= 0} | set(clean[:: max(1, len(clean) // CLEAN_STRINGS)])
-    hidden: dict[int, np.ndarray] = {}
-    w = np.zeros(x.shape[1] + 1)
+    negatives = {int(i) for i in chosen[y < 0] if i >= 0} | set(clean[:: max(1, len(clean) // CLEAN_STRINGS)])
+    model = model_of(np.zeros(whiten.shape[1] + 1))
+    margin = np.zeros(len(words))
     for _ in range(ROUNDS):
         at = [int(i) for i in chosen[y > 0] if i >= 0]
-        often = [i for i, k in Counter(at).most_common(64) if k > 1 and len(words[i]) > 3]
-        for i in often:
-            if i not in hidden:
-                hidden[i] = kernel(alphabet, stretched(words[i]), marks) @ whiten
-        against = np.array(sorted(negatives), dtype=np.int64)
-        extra = np.vstack([np.zeros((0, x.shape[1]), np.float32), *[hidden[i] for i in often]])
-        each = np.vstack([x[at], extra, x[against]]).astype(np.float64)
-        good = len(at) + len(extra)
-        side = np.concatenate([np.ones(good), -np.ones(len(against))])
-        weight = np.concatenate([np.full(len(at), COST), np.full(len(extra), COST * len(at) / max(1, len(extra)) / 4), np.full(len(against), COST)])
-        w = _svm(each, side, weight)
-        margin = x @ w[:-1] + w[-1]
+        often = [words[i] for i, k in Counter(at).most_common(64) if k > 1 and len(words[i]) > 3]
+        extra = [v for o in often for v in stretched(o)]
+        against = sorted(negatives)
+        bad = [words[i] for i in at] + extra
+        side = np.repeat([1.0, -1.0], [len(bad), len(against)])
+        light = COST * len(at) / max(1, len(extra)) / 4
+        weight = np.repeat([COST, light, COST], [len(at), len(extra), len(against)])
+        model = model_of(_svm(features(bad + [words[i] for i in against]), side, weight))
+        margin = model.margins(words)
         new = worst(margin)
         hard = {int(i) for i in new[y < 0] if i >= 0 and margin[i] > -1} - negatives
         if (new == chosen).all() and not hard:
             break
         chosen, negatives = new, negatives | hard
-    top = np.array([margin[i] if i >= 0 else w[-1] for i in worst(margin)])
-    slope, shift = _platt(top, y)
-    beta = whiten @ w[:-1]
-    table = np.zeros(alphabet.size**3)
-    for at, c, weights in alphabet.subsequences(marks):
-        np.add.at(table, c, beta[at][:, None] * weights[None, :])
-    return Model(alphabet, table.astype(np.float32), float(w[-1]), slope, shift)
+    top = np.array([margin[i] if i >= 0 else model.offset for i in worst(margin)])
+    model.slope, model.shift = _platt(top, y)
+    return model
 
 
 _seen: dict[str, float] = {}
