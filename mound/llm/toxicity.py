@@ -13,8 +13,8 @@ that of its worst string; Platt's sigmoid turns it into a score.
 The SVM and the landmarks are one linear function of the subsequences, so scoring a string
 sums one weight for each of its subsequences; no text needs its neighbours or a shuffle.
 
-Fitting: string counts cover all labelled training texts; the SVM is fitted on the driver
-to at most about ``FIT_TEXTS`` texts of each label, chosen by hash, against about
+Fitting: string counts cover about ``FIT_ROWS`` labelled texts; the SVM is fitted on the driver
+to about ``FIT_TEXTS`` texts of each label, chosen by hash, against about
 ``CLEAN_STRINGS`` strings of clean texts and all those it gets wrong. Strings that often
 make a text toxic are fitted with characters inserted and repeated too.
 """
@@ -31,16 +31,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mound.llm.tables import row_hash, text_of
+from mound.llm.tables import row_hash, settle, text_of
 
 DECAY = 0.8
 SPAN = 7
 LANDMARKS = 256
-FIT_TEXTS = 1_500
+FIT_ROWS = 20_000
+FIT_TEXTS = 1_000
 ROUNDS = 6
 CLEAN_STRINGS = 8_000
 COST = 10.0
-CACHED = 1_000_000
+CACHED = 250_000
 OUTER = "\"'`.,;:!?()[]{}<>|*_~-#/\\«»¿¡…“”‘’"
 
 
@@ -315,7 +316,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with a label that may be learnt from."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """Texts with a label that may be learnt from: about ``most`` of them, chosen by hash, or all.
+
+    The bound makes the labels small enough to be sent to the documents, which stay where they are.
+    """
     known = labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
-    return docs.select("doc_id", text_of("text").alias("text")).join(known, "doc_id").select("text", "toxic")
+    n = known.count()
+    some = known.filter(F.pmod(row_hash(19, "doc_id"), F.lit(max(1, n))) < most)
+    texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(some), "doc_id")
+    return settle(texts.select("text", "toxic"))
