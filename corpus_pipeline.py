@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mound.llm import toxicity
+from mound.llm import mixing, pii, sentencepiece_codec, simhash, toxicity
 from mound.llm.tables import read, settle
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,14 +15,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the toxicity model does not predict as toxic."""
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.fit(toxicity.training_rows(docs, labels))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*DOCUMENTS)
+    return toxicity.score(docs.select(*DOCUMENTS), model).filter("predicted = 0").select(*DOCUMENTS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of every group of near-equal fingerprints."""
+    return simhash.keep_one(docs.select(*DOCUMENTS), shingle=5)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; every document stays."""
+    return pii.redact(docs.select(*DOCUMENTS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emit every document as often as its source's rate asks."""
+    return mixing.mix(docs.select(*DOCUMENTS))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, with parity and round trip."""
+    out = sentencepiece_codec.encode(docs.select(*DOCUMENTS))
+    return out.select("doc_id", "source", "n_tokens", "ids", "parity", "round_trip")
 
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("pii", redact_pii),
+    ("mixing sources", mix_sources),
+    ("sentencepiece", encode_texts),
 ]
 
-# The stages fit models, so no SQL gives the rows of run().
+# The first stages fit a model and walk links, so no SQL gives the rows of run().
 ORACLE_SQL = None
 
 

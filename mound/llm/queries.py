@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mound.llm import ann_tree, exact_topk, mixing, pii, sentencepiece_codec, sharding, simhash, toxicity, url_filter
+from mound.llm import ann_tree, exact_topk, mixing, passages, pii, sentencepiece_codec, sharding, simhash, toxicity, url_filter
 from mound.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids", "parity", "round_trip")
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that other documents have too."""
+    return passages.repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_passages": op9_passages,
     "op10_url_filter": op10_url_filter,
 }
 
