@@ -72,7 +72,7 @@ def rated(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE, mos
 
 def mix(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE, most: int = MOST) -> DataFrame:
     """The mixture: every document ``copies`` times, with the columns it had."""
-    out = rated(docs, seed, cycle, most).withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
+    out = rated(docs, seed, cycle, most).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -284,7 +284,7 @@ def _margins(model: Model, bags: list[set[str]]) -> np.ndarray:
     if _seen_by[0] != mark or len(_seen) > CACHED:
         _seen.clear()
         _seen_by[0] = mark
-    new = sorted(set().union(*bags) - _seen.keys()) if bags else []
+    new = sorted({s for b in bags for s in b if s not in _seen})
     _seen.update(zip(new, model.margins(new).tolist()))
     return np.array([max((_seen[s] for s in b), default=model.offset) for b in bags])
 
