@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from mound.plans import oracles
+from mound.plans.catalog import QUERIES
 from tests.conftest import SF
 from tests.oracle_check import connect, differences
 
-ORACLES = oracle_sql()
+ORACLES = oracles.build()
 ROWS_ONLY = {"m4_m5_fit_score", "m9_recalibrate"}
 
 
@@ -18,18 +20,23 @@ def con():
 
 
 def test_only_models_lack_an_oracle():
-    assert set(queries()) - set(ORACLES) == ROWS_ONLY
-    assert set(ORACLES) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
+
+
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(queries())
+    assert set(ORACLES) <= set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, name):
-    assert differences(queries()[name](spark, SF), con, ORACLES[name]) == []
+    assert differences(QUERIES[name](spark, SF), con, ORACLES[name]) == []
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_scores_are_probabilities(spark, name):
-    out = queries()[name](spark, SF)
+    out = QUERIES[name](spark, SF)
     assert out.count() == 492
     assert out.filter("score is null or not score between 0 and 1").count() == 0
 
