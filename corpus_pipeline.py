@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of every group of near-equal fingerprints."""
-    return simhash.keep_one(docs.select(*DOCUMENTS), shingle=5)
+    return simhash.keep_one(docs.select(*DOCUMENTS))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,20 +60,21 @@ def rated(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE, mos
     Empty and null texts have size 0; they are emitted by their source's rate like others, and a source that has only
     such texts has rate 0. Columns of these names are replaced. Equal rows draw alike.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     rates = settle(targets(docs.select("source", words().alias("size")), cycle, most))
-    rates = rates.select(F.struct("source").alias("_of"), "source_size", "target")
-    rows = docs.withColumns({"_of": F.struct("source"), "size": words()}).join(rates, "_of").drop("_of")
+    rates = rates.select(F.struct("source").alias("of"), "source_size", "target")
+    rows = docs.select(F.struct("*").alias("d"), F.struct("source").alias("of"), words().alias("size"), draw(seed).alias("u"))
+    rows = rows.join(rates, "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    more = (draw(seed) < rate - whole).cast("long")
-    return rows.withColumn("copies", whole + more)
+    copies = F.floor(rate) + (F.col("u") < rate - F.floor(rate)).cast("long")
+    return rows.select(*[F.col(f"d.`{c}`") for c in kept], "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE, most: int = MOST) -> DataFrame:
     """The mixture: every document ``copies`` times, with the columns it had."""
-    out = rated(docs, seed, cycle, most).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rated(docs.select("doc_id", "source", "text", F.struct("*").alias("d")), seed, cycle, most)
+    each = rows.select("d", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return each.select("d.*")
 
 
 # DuckDB: the same rule over the whole table.

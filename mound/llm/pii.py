@@ -1,7 +1,7 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from what they find.
 
-The spans of four regular expressions are the seeds. What stands before and after a seed (the last word or two,
-the last word and the next one) is a lexical pattern; the identifier-like tokens that no base span touches, those
+The spans of four regular expressions are the seeds. What stands around a seed (the last two words before
+it, or the last one and the next) is a lexical pattern; the identifier-like tokens that no base span touches, those
 with a digit or an at sign, are the other instances. Patterns and instances form a graph that Spark
 scores in rounds: a pattern's score for a kind is the share of its different instances that are of the kind, drawn
 to 0 where there are few; an instance's is the chance that not all its patterns err. Tokens
@@ -122,7 +122,7 @@ def _patterns() -> Column:
     one = F.concat(last, F.when(before.rlike(r"[\x20\x09-\x0D]$"), " _").otherwise("_"))
     two = F.concat(F.when(F.size(words) > 1, F.element_at(words, -2)).otherwise("^"), F.lit(" "), one)
     following = F.concat(one, F.lit(" "), F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)", 1))
-    return F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), two), F.concat(F.lit("b "), following))
+    return F.array(F.concat(F.lit("2 "), two), F.concat(F.lit("b "), following))
 
 
 def occurrences(scan: DataFrame) -> DataFrame:
@@ -189,11 +189,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Of overlapping spans the first stands for all. A null text stays null.
     """
-    found = spans(docs).filter("size(base) + size(added) > 0").select("key", F.array_sort(F.concat("base", "added")).alias("_all"))
-    found = found.groupBy("key").agg(F.first("_all").alias("_all"))
-    rows = docs.withColumn("_key", F.md5(text_of("text").cast("binary"))).join(found.withColumnRenamed("key", "_key"), "_key", "left")
+    found = spans(docs).filter("size(base) + size(added) > 0").select("key", F.array_sort(F.concat("base", "added")).alias("spans"))
+    found = found.groupBy("key").agg(F.first("spans").alias("spans"))
+    rows = docs.select(F.struct("*").alias("d"), F.md5(text_of("text").cast("binary")).alias("key")).join(found, "key", "left")
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("text")
+    text = F.col("d.text")
 
     def step(state: Column, s: Column) -> Column:
         more = F.concat(state["out"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.get(kinds, s["kind"])))
@@ -203,9 +203,11 @@ def redact(docs: DataFrame) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("_all", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    rows = rows.withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(text))
+    clean = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    hit = F.size("spans") > 0
+    rows = rows.select("d", hit.alias("hit"), F.when(hit, clean).otherwise(text).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.size("_all") > 0, length).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("hit"), length).otherwise(F.col("d.n_chars"))
+    return rows.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])

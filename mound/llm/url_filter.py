@@ -108,9 +108,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, fit_urls
     there is nothing to learn from and the verdict is the one that was seen, else allow. A null url has an empty host
     and path, no rule, and the verdict its features give. Columns of these names are replaced; equal urls are judged alike.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "block_score", "suffix")
-    named = [c for c in pages.columns if c not in FEATURES]
-    rows = featured(pages.select(*named).withColumns(host_and_path(F.col("url"))).withColumns(rule_of(rules)))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
+    rows = pages.select(F.struct("*").alias("page"), "url").withColumns(host_and_path(F.col("url"))).withColumns(rule_of(rules))
+    rows = featured(rows)
     labelled = rows.filter("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
     statistics = settle(suffix_statistics(labelled))
     rows = with_suffix(rows, statistics)
@@ -122,4 +122,4 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, fit_urls
         rows = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
         rows = rows.withColumn("block_score", vector_to_array("probability")[1])
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    return rows.select(*named, "host", "path", "rule", verdict.alias("verdict"), "block_score")
+    return rows.select(*[F.col(f"page.`{c}`") for c in kept], "host", "path", "rule", verdict.alias("verdict"), "block_score")

@@ -1,0 +1,76 @@
+"""Hosts, paths and rules against plain Python; verdicts of the trees; odd rows."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from mound.llm import url_filter
+
+URLS = [
+    None, "", "no scheme.net/en/", "http://", "http://A.NET/", "https://a.net", "http://Example.NET/en/x?y=1", "http://x.example.net/EN/", "http://badexample.net/en/1",
+    "http://example.com/de/#top", "http://a.example.com/de", "http://x.org/fr/?q", "org/fr/://x.org/fr/", "http://y://x.org/fr/", "HTTP://É.org/fr/é#f", "http://x.net?a/b", "a\nb://c.net/\nd",
+]
+
+
+def plain(url):
+    host, path = "", ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+        path = rest[end:]
+        path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+    best = None
+    for rule, verdict in url_filter.RULES:
+        name, _, tail = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + tail):
+            if best is None or len(rule) > len(best[0]):
+                best = rule, verdict
+    return host, path, best
+
+
+def test_rules(spark):
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(None, "http://q.net/x")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(5), "suffix": F.lit("mine"), "label": F.lit(0)})
+    got = url_filter.judge(pages).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        host, path, best = plain(r.url)
+        assert (r.host, r.path, r["rule"]) == (host, path, best and best[0])
+        assert r.verdict == best[1] if best else r.verdict in ("allow", "block")
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rules,verdict", [((), "allow"), ((("com/", "block"),), "block"), ((("com/", "allow"),), "allow")])
+def test_without_both_labels(spark, rules, verdict):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.xyz/x"), (3, None)], "page_id long, url string")
+    assert {r.verdict for r in url_filter.judge(pages, rules).collect()} == {verdict}
+
+
+def test_trees_learn_lexical_features(spark):
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    spam = lambda host: f"http://{word(4)}-{rng.randrange(10**6)}.{host}/{rng.randrange(10**9)}?a={rng.randrange(10**6)}&b=2&c=3"
+    ham = lambda host: f"http://{word(7)}.{host}/{word(5)}/{word(6)}.html"
+    urls = [spam("bad.tld") for _ in range(200)] + [ham("good.tld") for _ in range(200)] + [spam("new.tld") for _ in range(60)] + [ham("new.tld") for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, (("bad.tld/", "block"), ("good.tld/", "allow"))).collect()}
+    right = sum(got[i] == "block" for i in range(400, 460)) + sum(got[i] == "allow" for i in range(460, 520))
+    assert right >= 114
+
+
+def test_entropy_and_counts(spark):
+    url = "http://ab-1.x.org/p/q/?a=1&b=2#z"
+    rows = spark.createDataFrame([(url,), ("",), (None,)], "url string").withColumns(url_filter.host_and_path(F.col("url")))
+    r, empty, null = url_filter.featured(rows).collect()
+    import math
+    from collections import Counter
+
+    n = Counter(url)
+    assert r.entropy == pytest.approx(-sum(k / len(url) * math.log2(k / len(url)) for k in n.values()))
+    assert (r.url_length, r.depth, r.labels, r.hyphens, r.parameters, r.query_length, r.fragment, r.suffix) == (len(url), 2, 3, 1, 2, 7, 1, "org")
+    assert r.digit_ratio == pytest.approx(3 / len(url))
+    assert (empty.entropy, empty.url_length, null.entropy, null.suffix) == (0, 0, 0, "")
