@@ -3,9 +3,9 @@
 The model file is read as the protobuf it is, and its normaliser, space marker, pieces with scores
 and byte fallback are rebuilt as a tokenizer. A unigram model keeps its scores as they are; in a BPE
 model the scores order the merges, and a merge may give a piece from any two others. Texts
-are encoded in batches on ``THREADS`` threads; every text is also encoded by the sentencepiece library
-and its ids compared (parity), and decoded again and compared with what the
-normaliser left of it (round trip).
+are encoded in batches on ``THREADS`` threads, and by the sentencepiece library too, and the ids compared
+(parity), and the pieces of the ids are put together again and compared with what
+the normaliser left of it (round trip).
 
 The model's bytes (below a megabyte) go with the task, so executors need no file.
 """
@@ -17,6 +17,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 BATCH = 256
 THREADS = 2
-CACHED = 200_000
+CACHED = 400_000
+LINE = 512
 # Fixed values of the model format.
-NORMAL, UNKNOWN, UNIGRAM, BPE_MODEL = 1, 2, 1, 2
+NORMAL, UNKNOWN, BYTE = 1, 2, 6
+UNIGRAM, BPE_MODEL = 1, 2
 
 
 def default_model() -> str:
@@ -125,8 +128,8 @@ def independent_words(spec: Spec) -> bool:
 def build(spec: Spec, words: bool = False):
     """The tokenizer that encodes and decodes as the model does.
 
-    With ``words`` it parts texts before every marker, which is fast, and the same for
-    texts without two markers or spaces in a row if the model has independent words.
+    With ``words`` it parts texts before every marker, which is the same for texts
+    without two of them in a row if the model has independent words.
     """
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -135,7 +138,7 @@ def build(spec: Spec, words: bool = False):
         model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=unknown, byte_fallback=spec.byte_fallback)
     elif spec.kind == BPE_MODEL:
         vocabulary = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
-        model = models.BPE(vocabulary, merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=CACHED)
+        model = models.BPE(vocabulary, merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=10_000)
     else:
         raise ValueError(f"models of kind {spec.kind} are neither unigram nor BPE")
     out = Tokenizer(model)
@@ -160,55 +163,88 @@ def build(spec: Spec, words: bool = False):
 
 
 class Codec:
-    """Both ways of the tokenizers library for one model."""
+    """Both ways of the tokenizers library for one model.
 
-    def __init__(self, data: bytes):
-        from tokenizers import normalizers
+    Where words are independent and the normaliser is a prefix and a replacement, a text is
+    encoded word by word: words not met before go through the tokenizer, many to a line and
+    lines in batches, and the ids are cut where a marker begins a word. Texts with
+    runs of spaces or markers of their own go through it as they are. Whatever goes
+    through the tokenizer goes through the sentencepiece library too, and must give the same ids.
+    """
+
+    def __init__(self, data: bytes, threads: int = 1):
+        import sentencepiece
 
         spec = parse(data)
+        self.theirs = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.threads = threads
         self.whole = build(spec)
-        # Without a character map and squeezing, the normaliser is a prefix and a replacement.
-        plain = independent_words(spec) and not spec.charsmap and not spec.squeeze
-        self.words = build(spec, True) if plain else self.whole
-        self.doubled = re.compile(f"^[ {MARK}]|[ {MARK}]{{2}}") if plain else None
-        self.prefix = MARK if spec.dummy_prefix else ""
-        if plain:
-            self.words.normalizer = normalizers.Sequence([])
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.doubled:
-            return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = independent_words(spec) and not spec.charsmap and not spec.squeeze and spec.dummy_prefix
+        self.words = build(spec, True) if plain else None
+        self.odd = re.compile(f"^ |  | $|{MARK}")
+        self.begins = [p.startswith(MARK) for p, _, _ in spec.pieces]
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.differ: set[str] = set()
+        # Bytes of every piece, for decoding many ids at once.
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in spec.pieces] if plain else None
+
+    def _learn(self, words: list[str]) -> None:
+        lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
+        texts = [" ".join(x) for x in lines]
+        both = zip(self.words.encode_batch_fast(texts, add_special_tokens=False), self.theirs.encode(texts, num_threads=self.threads))
+        for line, (e, same) in zip(lines, both):
+            ids = e.ids
+            cuts = [i for i, t in enumerate(ids) if self.begins[t]] + [len(ids)]
+            self.known.update((w, tuple(ids[i:j])) for w, i, j in zip(line, cuts, cuts[1:]))
+            if ids != same:
+                self.differ.update(w for w in line if list(self.known[w]) != self.theirs.encode(w))
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of every text, and whether the sentencepiece library gives the same."""
         out: list[list[int]] = [[]] * len(texts)
-        runs = [bool(self.doubled.search(t)) for t in texts]
-        for has, codec in ((False, self.words), (True, self.whole)):
-            at = [i for i, r in enumerate(runs) if r == has]
-            some = [texts[i] if has or not texts[i] else self.prefix + texts[i].replace(" ", MARK) for i in at]
-            for i, e in zip(at, codec.encode_batch_fast(some, add_special_tokens=False)):
-                out[i] = e.ids
-        return out
+        same = [True] * len(texts)
+        odd = [i for i, t in enumerate(texts) if t and (not self.words or self.odd.search(t))]
+        for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
+            out[i] = e.ids
+        for i, ids in zip(odd, self.theirs.encode([texts[i] for i in odd], num_threads=self.threads)):
+            same[i] = out[i] == ids
+        if self.words:
+            rest = set(range(len(texts))) - set(odd)
+            parts = {i: texts[i].split(" ") for i in rest if texts[i]}
+            if len(self.known) > CACHED:
+                self.known.clear()
+                self.differ.clear()
+            self._learn(sorted({w for p in parts.values() for w in p if w not in self.known}))
+            for i, p in parts.items():
+                out[i] = list(chain.from_iterable(map(self.known.__getitem__, p)))
+                same[i] = not self.differ or self.differ.isdisjoint(p)
+        return out, same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
+    def returns(self, ids: list[list[int]], texts: list[str]) -> list[bool]:
+        """Whether ids decode to what the normaliser left of each text."""
+        if self.bytes:
+            back = (b"".join([self.bytes[i] for i in x])[1:] for x in ids)
+            return [b == t.replace(MARK, " ").encode("utf-8", "surrogatepass") for b, t in zip(back, texts)]
+        return [a == self.normalised(t) for a, t in zip(self.decode(ids), texts)]
+
     def normalised(self, text: str) -> str:
         """What decoding gives back of a text."""
-        if self.doubled:
-            return text.replace(MARK, " ")
         return self.whole.normalizer.normalize_str(text).replace(MARK, " ").removeprefix(" ")
 
 
-_built: dict[int, tuple] = {}
+_built: dict[int, Codec] = {}
 
 
-def _codecs(data: bytes, threads: int) -> tuple:
-    """Both codecs, built once a worker."""
+def _codec(data: bytes, threads: int) -> Codec:
+    """The codec, built once a worker."""
     if hash(data) not in _built:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        import sentencepiece
-
         _built.clear()
-        _built[hash(data)] = Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+        _built[hash(data)] = Codec(data, threads)
     return _built[hash(data)]
 
 
@@ -225,18 +261,16 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", thread
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ours, theirs = _codecs(shared.value, threads)
+        ours = _codec(shared.value, threads)
         for batch in batches:
             for k in range(0, len(batch), BATCH):
                 part = batch.iloc[k : k + BATCH].copy()
                 texts = [t or "" for t in part[text]]
-                ids = ours.encode(texts)
-                same = theirs.encode(texts, num_threads=threads)
-                back = ours.decode(ids)
+                ids, same = ours.encode(texts)
                 part["ids"] = ids
                 part["n_tokens"] = [len(i) for i in ids]
-                part["parity"] = [a == b for a, b in zip(ids, same)]
-                part["round_trip"] = [a == ours.normalised(b) for a, b in zip(back, texts)]
+                part["parity"] = same
+                part["round_trip"] = ours.returns(ids, texts)
                 yield part
 
     return rows.mapInPandas(coded, f"{kinds}, ids array<int>, n_tokens int, parity boolean, round_trip boolean")
@@ -251,7 +285,7 @@ def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", threads:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ours, _ = _codecs(shared.value, threads)
+        ours = _codec(shared.value, threads)
         for batch in batches:
             for k in range(0, len(batch), BATCH):
                 part = batch.iloc[k : k + BATCH].copy()

@@ -22,8 +22,8 @@ def data():
 
 def test_odd_texts(data):
     ours, theirs = codec.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
-    ids = ours.encode(ODD)
-    assert ids == theirs.encode(ODD)
+    ids, same = ours.encode(ODD)
+    assert all(same) and ids == theirs.encode(ODD)
     assert ours.decode(ids) == theirs.decode(ids) == [t.replace("▁", " ") for t in ODD]
 
 
@@ -69,6 +69,16 @@ def test_unigram_model_with_byte_fallback():
     assert (spec.kind, spec.byte_fallback, spec.squeeze, len(spec.pieces)) == (1, True, True, len(pieces))
     ours, theirs = codec.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
     texts = ["the cats", "  the   cat sat ", "caté 🎉", "", "tssca"]
-    ids = ours.encode(texts)
-    assert ids == theirs.encode(texts)
+    ids, same = ours.encode(texts)
+    assert all(same) and ids == theirs.encode(texts)
     assert ours.decode(ids) == [ours.normalised(t) for t in texts] == theirs.decode(ids)
+
+
+def test_parity_is_by_word(data):
+    ours = codec.Codec(data)
+    ours.encode(["one two three"])
+    ours.known["two"] = ours.known["one"]
+    ours.differ.add("two")
+    ids, same = ours.encode(["one", "two", "three one", "one  two"])
+    assert same == [True, False, True, True] and ids[1] == ids[0]
+    assert ours.returns(ids, ["one", "two", "three one", "one  two"]) == [True, False, True, True]
