@@ -23,11 +23,11 @@ def safe_rate(k: str | Column, n: str | Column) -> Column:
 
 
 def smooth_rate(n: str | Column, rate: str | Column, prior: str | Column, m: float) -> Column:
-    """Pull a rate toward a prior worth ``m`` pitches."""
+    """Pull a rate toward a prior worth ``m`` pitches; null where both weigh nothing."""
     n, rate, prior = (F.col(x) if isinstance(x, str) else x for x in (n, rate, prior))
     weight = F.lit(float(m))
     seen = F.coalesce(n * rate, F.lit(0.0))
-    return (seen + weight * prior) / (F.coalesce(n, F.lit(0)) + weight)
+    return F.try_divide(seen + weight * prior, F.coalesce(n, F.lit(0)) + weight)
 
 
 def fallback(*columns: str | Column) -> Column:

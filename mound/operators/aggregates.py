@@ -165,11 +165,11 @@ def frequency_encode(train: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(train: DataFrame, column: str, lo: float, width: float, bins: int) -> DataFrame:
-    """Rows per equal-width bin; values outside go to the first or last bin."""
+    """Rows per equal-width bin; values outside go to the first or last bin, NaN and null to none."""
     place = F.floor((F.col(column) - F.lit(float(lo))) / F.lit(float(width)))
     place = F.greatest(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
     return (
-        train.filter(F.col(column).isNotNull())
+        train.filter(F.col(column).isNotNull() & ~F.isnan(column))
         .groupBy(place.alias("bin"))
         .agg(F.count("*").alias("n"))
     )

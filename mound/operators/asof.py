@@ -19,6 +19,7 @@ from mound.operators.ordered import (
     running,
     sliding,
     split_if_large,
+    spread,
 )
 from mound.sources.schema import PITCH_GROUPS
 
@@ -75,12 +76,14 @@ def asof_rates(
     mix: Sequence[str] = (),
     levels: Levels = LEVELS,
     source: DataFrame | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Add count, outcome rates and pitch-mix rates over the player's earlier pitches.
 
-    All columns share one exchange, one sort and one window of the rows.
+    All columns share one exchange, one sort and one window of the rows; they are null
+    for rows without a player.
     """
-    out = running(log, [key], levels, _sums(prefix, outcomes, mix), source)
+    out = running(log, [key], levels, _sums(prefix, outcomes, mix), source, totals)
     return _to_rates(out, prefix, outcomes, mix)
 
 
@@ -96,7 +99,8 @@ def per_game(
 
 def game_seq(log: DataFrame, key: str, game: Sequence[str] = GAME) -> DataFrame:
     """Ordinal of each game of a player, first = 1; one row per player and game."""
-    games = log.groupBy(key, *game).agg(F.count("*").alias("n"))
+    # Settled: numbering reads it twice.
+    games = settle(log.groupBy(key, *game).agg(F.count("*").alias("n")))
     seq = running(games, [key], [game[:1], game[1:]], {"game_seq": F.lit(1)})
     return seq.withColumn("game_seq", F.col("game_seq") + 1)
 
@@ -149,7 +153,7 @@ def prev_games(
     ``how="pooled"`` divides summed counts, ``how="mean"`` averages per-game rates.
     Fewer than k earlier games: those there are; none: null.
     """
-    games = per_game(log, key, outcomes, game)
+    games = settle(per_game(log, key, outcomes, game))
     games = running(games, [key], [game[:1], game[1:]], {"game_seq": F.lit(1)})
     out = _with_prev_games(games, key, prefix, list(outcomes), ks, how, bucket_rows)
     return out.select(key, *game, *_prev_columns(prefix, list(outcomes), ks, how))
@@ -170,16 +174,25 @@ def asof_features(
 ) -> DataFrame:
     """Add all 19 as-of columns of pitcher and batter.
 
-    The rows are shuffled twice: by (pitcher, game) and by (batter, date). Counts before
-    a game, the game's ordinal and the previous-game rates live in one table of a row per
-    pitcher and game, which meets the rows in the shuffle their own window needs.
+    The log is read twice: once for the totals of (pitcher, game) and (batter, date), in
+    one aggregate over both groupings that is settled, and once for the rows. These are
+    shuffled twice, by (pitcher, game) and by (batter, date). Counts before a game, the game's
+    ordinal and the previous-game rates live in one table of a row per pitcher and game, which
+    meets the rows in the shuffle their own window needs. Rows without a pitcher or a batter have
+    null columns of that player.
     """
     outcomes, recent = PITCHER_OUTCOMES, ("success", "middle")
     key = "pitcher_id"
     sums = _sums("pitcher", outcomes, MIX)
-    totals = log.groupBy(key, *GAME).agg(
-        *[F.coalesce(F.sum(v), F.lit(0)).alias(f"__{c}") for c, v in sums.items()]
+    batter = _sums("batter", BATTER_OUTCOMES, ())
+    both = settle(
+        log.groupingSets([[F.col(key), *map(F.col, GAME)], [F.col("batter_id"), F.col(GAME[0])]], key, "batter_id", *GAME).agg(
+            F.grouping(key).alias("__by_batter"),
+            *[F.coalesce(F.sum(v), F.lit(0)).alias(f"__{c}") for c, v in (sums | batter).items()],
+        )
     )
+    totals = both.filter("__by_batter = 0").select(key, *GAME, *[f"__{c}" for c in sums])
+    dates = both.filter("__by_batter = 1").select("batter_id", GAME[0], *[f"__{c}" for c in batter])
     before = {f"__before_{c}": F.col(f"__{c}") for c in sums}
     games = running(totals, [key], [GAME[:1], GAME[1:]], before | {"game_seq": F.lit(1)})
     games = games.withColumns(
@@ -191,16 +204,22 @@ def asof_features(
     games = games.select(key, *GAME, *before, *prev)
 
     inside = (
-        Window.partitionBy(key, *GAME)
+        Window.partitionBy(key, *GAME, "__spread")
         .orderBy("pitch_no", "row_id")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = log.withColumns({c: F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in sums.items()})
-    out = out.join(games, [key, *GAME], "left").withColumns(
-        {c: F.col(c) + F.coalesce(f"__before_{c}", F.lit(0)) for c in sums}
+    out = log.withColumn("__spread", spread([key], ["row_id"])).withColumns(
+        {c: F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in sums.items()}
+    )
+    games = games.withColumn("__spread", F.lit(0))
+    out = out.join(games, [key, *GAME, "__spread"], "left").withColumns(
+        {
+            c: F.when(F.col(key).isNotNull(), F.col(c) + F.coalesce(f"__before_{c}", F.lit(0)))
+            for c in sums
+        }
     )
-    out = _to_rates(out.drop(*before), "pitcher", outcomes, MIX)
-    return asof_rates(out, "batter_id", "batter", BATTER_OUTCOMES, source=log)
+    out = _to_rates(out.drop(*before, "__spread"), "pitcher", outcomes, MIX)
+    return asof_rates(out, "batter_id", "batter", BATTER_OUTCOMES, totals=dates)
 
 
 def pitch_no(
@@ -257,6 +276,8 @@ def rolling(
     ``frames`` holds plain aggregates such as ``F.avg("rel_speed")``.
     """
     numbered = running(log, [key], levels, {"__at": F.lit(1)})
+    # Rows without a key have no history and stay by themselves.
+    numbered = numbered.withColumn("__at", F.coalesce("__at", F.pmod(F.xxhash64(*levels[-1]), F.lit(2**40)) * (2 * n + 2)))
 
     def over(window: Window) -> dict[str, Column]:
         return {name: agg.over(window.rowsBetween(-n, -1)) for name, agg in frames.items()}

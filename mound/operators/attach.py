@@ -52,11 +52,17 @@ def attach(
     The table is settled and counted. Up to ``BROADCAST_ROWS`` rows Spark may broadcast it,
     if its files are below ``spark.sql.autoBroadcastJoinThreshold`` too: the rows then stay
     where they are. Otherwise both sides are shuffled, and adaptive execution splits the
-    partitions of a key with too many rows.
+    partitions of a key with too many rows. A key of columns must be unique in the table,
+    or the join would multiply rows: a repeated one is an error.
     """
     if not settled:
         table = settle(table)
-    if table.count() > BROADCAST_ROWS:
+    keys = [] if isinstance(on, Column) else list(on)
+    counts = [F.count("*").alias("n"), *([F.count_distinct(F.struct(*keys)).alias("u")] if keys else [])]
+    size = table.agg(*counts).first()
+    if keys and size.n != size.u:
+        raise ValueError(f"{size.n - size.u} rows of the fitted table repeat a key of {', '.join(keys)}")
+    if size.n > BROADCAST_ROWS:
         table = table.hint("merge")
     return rows.join(table, on if isinstance(on, Column) else list(on), how)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mound.functions import state
+from mound.operators.attach import settle
 from mound.operators.ordered import neighbour
 from mound.sources.schema import BANNED, LABEL
 
@@ -86,9 +87,14 @@ def check_unique(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
 
 
 def check_domains(df: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """Rows outside the domain of each column; rules are SQL conditions by column."""
-    present = {("domain", c): ~F.expr(rule) for c, rule in rules.items() if c in df.columns}
-    return _count_each(df, present)
+    """Rows outside the domain of each column; rules are SQL conditions by column.
+
+    A rule whose column is absent is a violation of its own, ``absent``.
+    """
+    lines = {("domain", c): ~F.expr(rule) for c, rule in rules.items() if c in df.columns}
+    absent = [("absent", c, 1) for c in rules if c not in df.columns]
+    counted = _count_each(df, lines)
+    return counted.unionByName(_report(df.sparkSession, absent)) if absent else counted
 
 
 def null_profile(df: DataFrame, columns: Sequence[str], by: Column | None = None) -> DataFrame:
@@ -154,8 +160,9 @@ def check_asof(train: DataFrame, label: str = LABEL, block: int = ORDINAL_BLOCK)
         F.floor(n / F.lit(block)).alias("__block"),
         *[c.alias(f"bad{i}") for i, c in enumerate(bad.values())],
     )
+    # Read twice: for the edges of blocks and for the rows.
     steps = neighbour(
-        steps, ["pitcher_id"], [["__block"], ["n", "row_id"]], ["n", "k"], "__next", step=1
+        settle(steps), ["pitcher_id"], [["__block"], ["n", "row_id"]], ["n", "k"], "__next", step=1
     )
     dn, dk = F.col("__next.n") - F.col("n"), F.col("__next.k") - F.col("k")
     along = {
@@ -218,14 +225,20 @@ def check_row_independence(
 ) -> DataFrame:
     """Rows that score differently when the file is cut in two by ``part``.
 
-    The file scored whole is compared with its two parts scored apart, all rows of it.
+    The file scored whole is compared with its two parts scored apart, all rows of it:
+    signed counts of equal rows must cancel. ``rows_compared`` says how many rows there were.
     """
-    whole = score_fn(test)
     inside = F.coalesce(part, F.lit(False))
+    whole = score_fn(test).withColumn("__sign", F.lit(1))
     apart = score_fn(test.filter(inside)).unionByName(score_fn(test.filter(~inside)))
-    changed = whole.exceptAll(apart).unionByName(apart.exceptAll(whole))
-    return changed.agg(
-        F.lit("row_independence").alias("check"),
-        F.lit("").alias("column"),
-        F.count("*").alias("violations"),
+    both = whole.unionByName(apart.withColumn("__sign", F.lit(-1)))
+    rows = [c for c in whole.columns if c != "__sign"]
+    sums = both.groupBy(*rows).agg(
+        F.sum("__sign").alias("__left"), F.count_if(F.col("__sign") == 1).alias("__whole")
+    )
+    counted = sums.agg(
+        F.coalesce(F.sum(F.abs("__left")), F.lit(0)).alias("changed"),
+        F.coalesce(F.sum("__whole"), F.lit(0)).alias("compared"),
     )
+    lines = [("row_independence", "", "changed"), ("rows_compared", "", "compared")]
+    return _lines(counted, lines)

@@ -7,14 +7,16 @@ aggregated ``groupBy`` and carried by a window over those summaries.
 
 ``levels`` is the order, coarse to fine: the columns of all but the last level name the
 block, e.g. ``[["game_date"], ["game_id", "pitch_no", "row_id"]]``. The whole order must
-be unique within a key. Key and block columns are not null by contract; a row that breaks
-it is kept, but sees its own block only.
+be unique within a key. Block columns are not null by contract. A row with a null in its key
+belongs to no key: it is kept, what is carried along the key is null for it, and it is
+spread over tasks by hash.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +27,12 @@ Levels = Sequence[Sequence[str]]
 
 # Above this many rows the rows of one key are cut into range blocks.
 GROUP_ROWS = 1_000_000
-# Range blocks of one table at most.
-MAX_PARTS = 10_000
 # Rows of one key that a sliding window handles in one group.
 BUCKET_ROWS = 4096
 
+# Tasks that rows without a key are spread over, per block.
+SPREAD = 1_024
+
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -37,32 +40,48 @@ def _block(levels: Levels) -> list[str]:
     return [c for level in levels[:-1] for c in level]
 
 
+def known(key: Sequence[str]) -> Column:
+    """True where no column of the key is null."""
+    return reduce(lambda a, c: a & F.col(c).isNotNull(), key, F.lit(True))
+
+
+def spread(key: Sequence[str], order: Sequence[str]) -> Column:
+    """0 for rows with a key, a hash for rows without, to be one more partition column."""
+    return F.when(known(key), 0).otherwise(F.pmod(F.xxhash64(*order), F.lit(SPREAD)).cast("int"))
+
+
 def running(
     df: DataFrame,
     key: Sequence[str],
     levels: Levels,
     sums: dict[str, Column],
     source: DataFrame | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Add sums over the strictly earlier rows of the key; 0 on its first row.
 
-    ``source`` may name a cheaper frame with the same rows for the block totals.
+    ``source`` may name a cheaper frame with the same rows for the block totals, ``totals``
+    a table of them: key, block and ``__<name>`` for each sum.
     """
     key, block = list(key), _block(levels)
-    inside = Window.partitionBy(*key, *block).orderBy(*levels[-1]).rowsBetween(*_BEFORE)
-    out = df.withColumns(
-        {name: F.coalesce(F.sum(value).over(inside), F.lit(0)) for name, value in sums.items()}
+    inside = Window.partitionBy(*key, *block, "__spread").orderBy(*levels[-1]).rowsBetween(*_BEFORE)
+    out = df.withColumn("__spread", spread(key, levels[-1])).withColumns(
+        {
+            name: F.when(known(key), F.coalesce(F.sum(value).over(inside), F.lit(0)))
+            for name, value in sums.items()
+        }
     )
     if not block:
-        return out
-    totals = (df if source is None else source).groupBy(*key, *block).agg(
-        *[F.coalesce(F.sum(value), F.lit(0)).alias(f"__{name}") for name, value in sums.items()]
-    )
+        return out.drop("__spread")
+    if totals is None:
+        totals = (df if source is None else source).groupBy(*key, *block).agg(
+            *[F.coalesce(F.sum(value), F.lit(0)).alias(f"__{name}") for name, value in sums.items()]
+        )
     carried = running(
-        totals, key, levels[:-1], {f"__before_{name}": F.col(f"__{name}") for name in sums}
-    ).select(*key, *block, *[f"__before_{name}" for name in sums])
-    return out.join(carried, key + block, "left").select(
-        *[c for c in out.columns if c not in sums],
+        totals.filter(known(key)), key, levels[:-1], {f"__before_{name}": F.col(f"__{name}") for name in sums}
+    ).select(*key, *block, F.lit(0).alias("__spread"), *[f"__before_{name}" for name in sums])
+    return out.join(carried, [*key, *block, "__spread"], "left").select(
+        *[c for c in out.columns if c not in sums and c != "__spread"],
         *[
             (F.col(name) + F.coalesce(f"__before_{name}", F.lit(0))).alias(name)
             for name in sums
@@ -81,18 +100,21 @@ def neighbour(
     """Add a struct of ``columns`` from the row before (-1) or after (1) in the key."""
     key, block, order = list(key), _block(levels), list(levels[-1])
     shift = F.lag if step < 0 else F.lead
-    inside = Window.partitionBy(*key, *block).orderBy(*order)
-    out = df.withColumn(name, shift(F.struct(*columns)).over(inside))
+    inside = Window.partitionBy(*key, *block, "__spread").orderBy(*order)
+    out = df.withColumn("__spread", spread(key, order))
+    out = out.withColumn(name, F.when(known(key), shift(F.struct(*columns)).over(inside)))
     if not block:
-        return out
+        return out.drop("__spread")
     edge = F.max_by if step < 0 else F.min_by
-    edges = df.groupBy(*key, *block).agg(
+    edges = df.filter(known(key)).groupBy(*key, *block).agg(
         edge(F.struct(*columns), F.struct(*order)).alias("__edge")
     )
     across = Window.partitionBy(*key).orderBy(*block)
-    beyond = edges.select(*key, *block, shift("__edge").over(across).alias("__beyond"))
-    return out.join(beyond, key + block, "left").select(
-        *[c for c in out.columns if c != name],
+    beyond = edges.select(
+        *key, *block, F.lit(0).alias("__spread"), shift("__edge").over(across).alias("__beyond")
+    )
+    return out.join(beyond, [*key, *block, "__spread"], "left").select(
+        *[c for c in out.columns if c not in (name, "__spread")],
         F.coalesce(name, "__beyond").alias(name),
     )
 
@@ -102,19 +124,21 @@ def last_before(
 ) -> DataFrame:
     """Add the last non-null ``value`` of the strictly earlier rows of the key."""
     key, block, order = list(key), _block(levels), list(levels[-1])
-    inside = Window.partitionBy(*key, *block).orderBy(*order).rowsBetween(*_BEFORE)
-    out = df.withColumn(name, F.last(value, ignorenulls=True).over(inside))
+    inside = Window.partitionBy(*key, *block, "__spread").orderBy(*order).rowsBetween(*_BEFORE)
+    out = df.withColumn("__spread", spread(key, order))
+    out = out.withColumn(name, F.when(known(key), F.last(value, ignorenulls=True).over(inside)))
     if not block:
-        return out
-    lasts = df.groupBy(*key, *block).agg(
+        return out.drop("__spread")
+    lasts = df.filter(known(key)).groupBy(*key, *block).agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__last")
     )
     across = Window.partitionBy(*key).orderBy(*block).rowsBetween(*_BEFORE)
     carried = lasts.select(
-        *key, *block, F.last("__last", ignorenulls=True).over(across).alias("__carried")
-    )
-    return out.join(carried, key + block, "left").select(
-        *[c for c in out.columns if c != name],
+        *key, *block, F.lit(0).alias("__spread"),
+        F.last("__last", ignorenulls=True).over(across).alias("__carried"),
+    )
+    return out.join(carried, [*key, *block, "__spread"], "left").select(
+        *[c for c in out.columns if c not in (name, "__spread")],
         F.coalesce(name, "__carried").alias(name),
     )
 
@@ -169,7 +193,7 @@ def split_if_large(
         rest = [c for c in order if c not in block]
         return df, [list(block), rest] if block else [rest]
     # A given number of parts: adaptive execution would merge small ones again.
-    parts = min(math.ceil(total / limit), MAX_PARTS)
+    parts = math.ceil(total / limit)
     placed = df.repartitionByRange(parts, *key, *order)
     return settle(placed.withColumn("__part", F.spark_partition_id())), [["__part"], list(order)]
 

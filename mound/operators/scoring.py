@@ -14,6 +14,8 @@ from mound.operators.ordered import GROUP_ROWS, running, split_if_large
 from mound.sources.schema import LABEL
 
 SCORE = "score"
+# Resolution of a calibration: steps of the score.
+CALIBRATION_STEPS = 10_000
 
 
 def constant_baseline(test: DataFrame, p: float = 0.5) -> DataFrame:
@@ -82,8 +84,10 @@ def metrics(scored: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFr
 def reliability(
     scored: DataFrame, bins: int = 10, score: str = SCORE, label: str = LABEL
 ) -> DataFrame:
-    """Mean prediction against observed share per bin; held-out train only."""
-    place = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    """Mean prediction against observed share per bin; held-out train only, NaN scores left out."""
+    step = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    place = F.when(F.col(score).isNotNull(), step)
+    scored = scored.filter(~F.isnan(F.coalesce(score, F.lit(0.0))))
     return scored.groupBy(place.alias("bin")).agg(
         F.count("*").alias("n"),
         F.avg(score).alias("predicted"),
@@ -91,14 +95,19 @@ def reliability(
     )
 
 
-def fit_recalibration(scored_valid: DataFrame, score: str = SCORE, label: str = LABEL) -> Model:
+def fit_recalibration(
+    scored_valid: DataFrame, score: str = SCORE, label: str = LABEL, steps: int = CALIBRATION_STEPS
+) -> Model:
     """Monotone correction learned on held-out train rows.
 
-    Rows of equal score become one weighted point first; the fit then pools points per
-    range of scores before the last merge.
+    Every row counts, at the mean score of its step: there are ``steps`` of them between 0
+    and 1, so the fit's last merge, on the driver, holds as many weighted points at most.
     """
-    points = scored_valid.groupBy(F.col(score).cast("double").alias("p")).agg(
-        F.avg(F.col(label).cast("double")).alias("y"), F.count("*").cast("double").alias("w")
+    known = scored_valid.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    points = known.groupBy(F.floor(F.col(score).cast("double") * steps).alias("step")).agg(
+        F.avg(F.col(score).cast("double")).alias("p"),
+        F.avg(F.col(label).cast("double")).alias("y"),
+        F.count("*").cast("double").alias("w"),
     )
     return IsotonicRegression(
         featuresCol="p", labelCol="y", weightCol="w", predictionCol="calibrated"

@@ -128,9 +128,16 @@ def _pitch_of_pa(spark: SparkSession, sf: str) -> DataFrame:
     log = pitch_view(
         spark, sf, ["row_id", "game_id", "pitch_no", "inning", "top_bottom", "batter_id"]
     )
-    return asof.pitch_of_pa(log, turn=["inning", "top_bottom"]).select(
-        "row_id", "pa_no", "pitch_of_pa"
-    )
+    return asof.pitch_of_pa(log).select("row_id", "pa_no", "pitch_of_pa")
+
+
+@query("w_null_keys")
+def _null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """As-of columns where every seventh part of the pitchers is unknown."""
+    log = pitch_view(spark, sf, [*ORDER, "pitcher_id", LABEL])
+    log = log.withColumn("pitcher_id", F.when(F.col("pitcher_id") % 7 != 0, F.col("pitcher_id")))
+    out = asof.asof_rates(log, "pitcher_id", "pitcher", {"success": LABEL})
+    return out.select("row_id", "asof_pitcher_n", "asof_pitcher_success_rate")
 
 
 @query("w22_rolling")
@@ -337,28 +344,28 @@ def _lagged(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _with_priors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _with_priors(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the test season with rates of all earlier ones."""
     keys = ["pitcher_id", "pitcher_team_id"]
     log = pitch_view(spark, sf, ["row_id", "season", *keys, LABEL])
-    history = filters.before(log, 1998)
+    history, rows = scoring.season_split(log, TEST_SEASON)
     priors = {k: aggregates.rates(history, k, {"success": LABEL}) for k in keys}
-    return joins.join_priors(log.drop(LABEL), priors), history
+    return joins.join_priors(rows.drop(LABEL), priors)
 
 
 @query("j4_join_priors")
 def _priors(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = _with_priors(spark, sf)
-    return rows.select("row_id", "prior_pitcher_id", "prior_pitcher_team_id")
+    return _with_priors(spark, sf).select("row_id", "prior_pitcher_id", "prior_pitcher_team_id")
 
 
 @query("p13_fallback")
 def _fallback(spark: SparkSession, sf: str) -> DataFrame:
-    log = pitch_view(spark, sf, ["row_id", "game_date", "batter_id", "batter_team_id", LABEL])
-    history = log.filter(F.col("game_date") < F.to_date(F.lit("1995-03-01")))
+    log = pitch_view(spark, sf, ["row_id", "season", "batter_id", "batter_team_id", LABEL])
+    history, rows = scoring.season_split(log, TEST_SEASON)
     priors = {
         k: aggregates.rates(history, k, {"success": LABEL}) for k in ("batter_id", "batter_team_id")
     }
-    rows = joins.join_priors(log.drop(LABEL), priors)
+    rows = joins.join_priors(rows.drop(LABEL), priors)
     league = aggregates.base_rate(history).select("base_rate").scalar()
     return rows.select(
         "row_id", scalars.fallback("prior_batter_id", "prior_batter_team_id", league).alias("rate")
@@ -379,7 +386,7 @@ def _asof_join(spark: SparkSession, sf: str) -> DataFrame:
 def _coverage(spark: SparkSession, sf: str) -> DataFrame:
     log = pitch_view(spark, sf, ["season", "batter_id"])
     rows = filters.seasons(log, TEST_SEASON, TEST_SEASON)
-    return joins.id_coverage(rows, filters.before(log, 1996), "batter_id", "batter_id")
+    return joins.id_coverage(rows, filters.before(log, TEST_SEASON), "batter_id", "batter_id")
 
 
 @query("j7_game_features_to_pitches")
@@ -543,6 +550,20 @@ def _domains(spark: SparkSession, sf: str) -> DataFrame:
     return checks.check_domains(state.with_game_state(log), Q5_RULES)
 
 
+@query("q5_rate_domains")
+def _rate_domains(spark: SparkSession, sf: str) -> DataFrame:
+    log = pitch_view(
+        spark, sf,
+        [*ORDER, "pitcher_id", "batter_id", "pitch_type_group", *asof.PITCHER_OUTCOMES.values()],
+    )
+    return checks.check_domains(asof.asof_features(log), schema.RATE_DOMAINS)
+
+
+@query("q5_tracking_domains")
+def _tracking_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.check_domains(flows.tracking_table(pitch_view(spark, sf)), schema.TRACKMAN_DOMAINS)
+
+
 @query("q6_null_profile")
 def _nulls(spark: SparkSession, sf: str) -> DataFrame:
     log = pitch_view(
@@ -554,11 +575,20 @@ def _nulls(spark: SparkSession, sf: str) -> DataFrame:
     return checks.null_profile(out, columns, cold)
 
 
+# Derived columns that are wrong on purpose where other columns say so.
+Q7_WRONG = {
+    "run_total_before": "run_top_before + run_bot_before + case when inning = 9 then 1 else 0 end",
+    "score_diff_home": "run_top_before - run_bot_before",
+    "score_diff_pitcher_team": "run_bot_before - run_top_before",
+    "num_runners_on": "balls_before",
+    "base_state": "case when outs_before = 2 then '___' when runner_on_1b = 1 then '1__' else '__3' end",
+}
+
+
 @query("q7_game_state")
 def _game_state(spark: SparkSession, sf: str) -> DataFrame:
     log = state.with_game_state(pitch_view(spark, sf, STATE))
-    # A column that is wrong on purpose wherever balls and runners differ.
-    return checks.check_game_state(log.withColumn("num_runners_on", F.col("balls_before")))
+    return checks.check_game_state(log.withColumns({c: F.expr(e) for c, e in Q7_WRONG.items()}))
 
 
 @query("q8_asof")
@@ -640,7 +670,7 @@ def _feature_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     train, test = scoring.season_split(log, TEST_SEASON)
     fitted = model.fit_features(train, MODEL_NUMBERS, (), MODEL_CATEGORIES)
     features = fitted.transform(test).select("row_id", vector_to_array("features").alias("f"))
-    return features.select("row_id", *[F.col("f")[i].alias(f"f{i}") for i in range(15)])
+    return features.select("row_id", F.posexplode("f").alias("slot", "value"))
 
 
 def _fitted(spark: SparkSession, sf: str):
@@ -650,8 +680,33 @@ def _fitted(spark: SparkSession, sf: str):
 
 @query("m4_m5_fit_score")
 def _fit_score(spark: SparkSession, sf: str) -> DataFrame:
-    fitted, test = _fitted(spark, sf)
-    return model.score(fitted, test, MODEL_RATES)
+    """One category alone: at the optimum a row scores the mean label of its group."""
+    log = pitch_view(spark, sf, ["row_id", "season", "game_type", LABEL])
+    train, test = scoring.season_split(log, TEST_SEASON)
+    out = model.score(model.fit(train, [], categories=["game_type"]), test)
+    return out.select("row_id", F.round("score", 3).alias("score"))
+
+
+@query("m4_trees")
+def _trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees on one feature of two values approach the rates of the two groups."""
+    log = pitch_view(spark, sf, ["row_id", "season", "strikes_before", LABEL])
+    log = log.withColumn("full", (F.col("strikes_before") == 2).cast("int"))
+    train, test = scoring.season_split(log, TEST_SEASON)
+    out = model.score(model.fit(train, ["full"], kind="trees", max_iter=40), test)
+    return out.select("row_id", F.round("score", 2).alias("score"))
+
+
+@query("m4_m5_optimum")
+def _optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """All features: over train, errors times a feature sum to nothing for every slot."""
+    train, _ = _model_rows(spark, sf)
+    fitted = model.fit(train, MODEL_NUMBERS, MODEL_RATES, MODEL_CATEGORIES)
+    out = fitted.transform(model.prepare(train, MODEL_RATES))
+    error = vector_to_array("probability")[1] - F.col(LABEL)
+    rows = out.select(error.alias("e"), F.posexplode(vector_to_array("features")).alias("slot", "x"))
+    mean = F.avg(F.col("e") * F.col("x"))
+    return rows.groupBy("slot").agg(F.count("*").alias("n"), (F.round(mean, 3) + F.lit(0.0)).alias("error"))
 
 
 @query("m9_recalibrate")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    FeatureHasher,
+    OneHotEncoder,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +22,12 @@ from mound.operators.attach import settle
 from mound.operators.scoring import SCORE
 from mound.sources.schema import BANNED, LABEL
 
-# A category column with more values than this belongs to target encoding: the index
-# of all values is held by the driver and by every task.
-MAX_CATEGORIES = 1_000
+# Slots of a hashed category column.
+HASH_WIDTH = 4_096
+# Stands in for a missing rate; its flag carries the information.
+MISSING_RATE = 0.0
+
+Categories = Sequence[str] | Mapping[str, Sequence[str]]
 
 
 def _flagged(rates: Sequence[str]) -> list[str]:
@@ -26,45 +35,59 @@ def _flagged(rates: Sequence[str]) -> list[str]:
 
 
 def prepare(rows: DataFrame, rates: Sequence[str]) -> DataFrame:
-    """Missing flags and doubles; row-wise, so train and test go the same way."""
+    """Missing flags and filled doubles; row-wise, so train and test go the same way."""
     flagged = rows.withColumns(missing_flags(rates)) if rates else rows
-    return flagged.withColumns({c: F.col(c).cast("double") for c in rates})
+    filled = {f"{c}_filled": F.coalesce(F.col(c).cast("double"), F.lit(MISSING_RATE)) for c in rates}
+    return flagged.withColumns(filled)
 
 
-def check_categories(train: DataFrame, categories: Sequence[str]) -> None:
-    """Refuse category columns whose index would grow with the data."""
-    if not categories:
-        return
-    sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in categories]).first()
-    large = [c for c in categories if sizes[c] > MAX_CATEGORIES]
-    if large:
-        raise ValueError(f"too many values to index: {', '.join(large)}")
+def _indexer(categories: Categories, indexed: list[str]) -> Transformer | Estimator:
+    """Codes of given values, or of those seen in train; either way others share a slot."""
+    if isinstance(categories, Mapping):
+        return StringIndexerModel.from_arrays_of_labels(
+            [list(v) for v in categories.values()], list(categories), indexed, handleInvalid="keep"
+        )
+    return StringIndexer(
+        inputCols=list(categories), outputCols=indexed, handleInvalid="keep",
+        stringOrderType="alphabetAsc",
+    )
 
 
 def feature_stages(
-    numbers: Sequence[str], rates: Sequence[str], categories: Sequence[str]
+    numbers: Sequence[str],
+    rates: Sequence[str],
+    categories: Categories = (),
+    hashed: Sequence[str] = (),
+    width: int = HASH_WIDTH,
 ) -> list:
-    """Impute rates, one-hot codes, assemble; unseen and missing codes share a slot."""
-    banned = set(BANNED) & {*numbers, *rates, *categories}
+    """Numbers, rates with flags, one-hot codes and hashed columns, assembled.
+
+    ``categories`` are columns of few values, as a mapping from column to its values or
+    as names whose values train shows; their index lives on the driver and in every
+    task. ``hashed`` are columns of any number of values, which share ``width`` slots.
+    """
+    banned = set(BANNED) & {*numbers, *rates, *categories, *hashed}
     if banned:
         raise ValueError(f"not known before the pitch: {', '.join(sorted(banned))}")
-    stages = []
-    if rates:
-        stages.append(Imputer(inputCols=list(rates), outputCols=[f"{c}_filled" for c in rates]))
+    stages: list = []
     if categories:
         indexed = [f"{c}_index" for c in categories]
         stages += [
-            StringIndexer(
-                inputCols=list(categories), outputCols=indexed, handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            ),
+            _indexer(categories, indexed),
             OneHotEncoder(inputCols=indexed, outputCols=[f"{c}_onehot" for c in categories]),
         ]
+    if hashed:
+        stages.append(
+            FeatureHasher(
+                inputCols=list(hashed), outputCol="hashed", numFeatures=width, categoricalCols=list(hashed)
+            )
+        )
     inputs = [
         *numbers,
         *[f"{c}_filled" for c in rates],
         *_flagged(rates),
         *[f"{c}_onehot" for c in categories],
+        *(["hashed"] if hashed else []),
     ]
     return stages + [VectorAssembler(inputCols=inputs, outputCol="features")]
 
@@ -73,11 +96,11 @@ def fit_features(
     train: DataFrame,
     numbers: Sequence[str],
     rates: Sequence[str] = (),
-    categories: Sequence[str] = (),
+    categories: Categories = (),
+    hashed: Sequence[str] = (),
 ) -> PipelineModel:
-    """Learn fill values and codes from train only."""
-    check_categories(train, categories)
-    stages = feature_stages(numbers, rates, categories)
+    """Learn codes from train only."""
+    stages = feature_stages(numbers, rates, categories, hashed)
     return Pipeline(stages=stages).fit(prepare(train, rates))
 
 
@@ -85,24 +108,29 @@ def fit(
     train: DataFrame,
     numbers: Sequence[str],
     rates: Sequence[str] = (),
-    categories: Sequence[str] = (),
+    categories: Categories = (),
     kind: str = "logistic",
-    max_iter: int = 20,
+    max_iter: int | None = None,
+    hashed: Sequence[str] = (),
 ) -> PipelineModel:
     """Fit features and classifier on train; nothing of the test table goes in.
 
     The columns used are settled first: the fit passes over them many times and must
-    not compute them again each time, nor when an executor is lost.
+    not compute them again each time, nor when an executor is lost. A logistic fit that has
+    not converged after ``max_iter`` rounds (200 unless given) is an error; trees are
+    as many as asked for (20).
     """
     if kind == "logistic":
-        learner = LogisticRegression(labelCol=LABEL, maxIter=max_iter)
+        learner = LogisticRegression(labelCol=LABEL, maxIter=max_iter or 200)
     elif kind == "trees":
-        learner = GBTClassifier(labelCol=LABEL, maxIter=max_iter, seed=7)
+        learner = GBTClassifier(labelCol=LABEL, maxIter=max_iter or 20, seed=7)
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    used = settle(train.select(*numbers, *rates, *categories, LABEL))
-    features = fit_features(used, numbers, rates, categories)
+    used = settle(train.select(*numbers, *rates, *categories, *hashed, LABEL))
+    features = fit_features(used, numbers, rates, categories, hashed)
     classifier = learner.fit(features.transform(prepare(used, rates)))
+    if kind == "logistic" and classifier.summary.totalIterations >= learner.getMaxIter():
+        raise RuntimeError(f"no convergence in {learner.getMaxIter()} rounds")
     return PipelineModel(stages=[*features.stages, classifier])
 
 

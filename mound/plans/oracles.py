@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from mound.plans.catalog import CONTEXT, PREV, PITCHER_RATES, Q5_RULES, STATE, TEST_SEASON
+from mound.plans.catalog import CONTEXT, PREV, PITCHER_RATES, Q5_RULES, Q7_WRONG, STATE, TEST_SEASON
 from mound.plans.pitch_view import view_sql
 from mound.sources import schema
 
@@ -128,16 +128,15 @@ def _typed(fields, expressions: dict[str, str]) -> str:
 
 
 def _table(fields, where: str = "") -> str:
-    clamped = f"greatest(least({HOME}, 10), -10)"
     expressions = {
         "run_total_before": RUN_TOTAL,
         "score_diff_home": HOME,
         "score_diff_pitcher_team": PITCHER_SIDE,
         "num_runners_on": RUNNERS,
         "base_state": BASES,
-        "home_win_expectancy": f"50.0 + {clamped} * 5",
-        "away_win_expectancy": f"50.0 - {clamped} * 5",
-        "li": f"1.0 + ({RUNNERS}) / 2.0",
+        "home_win_expectancy": "null",
+        "away_win_expectancy": "null",
+        "li": "null",
     }
     columns = list(dict.fromkeys([
         *ASOF_INPUT, "season", "game_month", "game_dayofweek", *STATE, "game_type",
@@ -267,10 +266,10 @@ def _model_features() -> str:
     numbers = ["inning", "balls_before", "strikes_before", "outs_before"]
     cells = [f"cast({c} as double)" for c in numbers]
     cells += [f"case when {c} = '{v}' then 1.0::double else 0.0::double end" for c, v in onehot]
-    listed = ", ".join(f"{e} as f{i}" for i, e in enumerate(cells))
     return _with(
         ["row_id", "season", *numbers, "top_bottom", "pitcher_hand", "batter_hand", "game_type"],
-        f"select row_id, {listed} from p where season = {TEST_SEASON}",
+        "select row_id, unnest(range(len(f)))::int as slot, unnest(f) as value from v",
+        f"v as (select row_id, [{', '.join(cells)}] as f from p where season = {TEST_SEASON})",
     )
 
 
@@ -301,16 +300,15 @@ def _asof_check() -> str:
 
 
 def _game_state_check() -> str:
-    wrong = f"coalesce(balls_before, -1) <> {RUNNERS}"
+    right = {
+        "run_total_before": RUN_TOTAL,
+        "score_diff_home": HOME,
+        "score_diff_pitcher_team": PITCHER_SIDE,
+        "num_runners_on": RUNNERS,
+        "base_state": BASES,
+    }
     lines = [
-        _line("game_state", c, "0" if c != "num_runners_on" else _count(wrong), src)
-        for c, src in (
-            ("run_total_before", "(select 1)"),
-            ("score_diff_home", "(select 1)"),
-            ("score_diff_pitcher_team", "(select 1)"),
-            ("num_runners_on", "p"),
-            ("base_state", "(select 1)"),
-        )
+        _line("game_state", c, _count(f"({Q7_WRONG[c]}) is distinct from ({e})")) for c, e in right.items()
     ]
     return _report(STATE, lines)
 
@@ -321,6 +319,7 @@ def _domain_check() -> str:
     lines = [
         _line("domain", c, _count(f"not ({rule})"), "q") for c, rule in Q5_RULES.items() if c in have
     ]
+    lines += [_line("absent", c, "1", "(select 1)") for c in Q5_RULES if c not in have]
     return _report(["game_dayofweek", "game_month", *STATE, "control_success"], lines, derived)
 
 
@@ -361,7 +360,14 @@ def build() -> dict[str, str]:
     out["w21_pitch_of_pa"] = _with(
         ["row_id", "game_id", "pitch_no", "inning", "top_bottom", "batter_id"],
         "select row_id, cast(pa as bigint) as pa_no, pitch_of_pa from e",
-        *_appearances(False),
+        *_appearances(True),
+    )
+    out["w_null_keys"] = _with(
+        [*ORDER, "pitcher_id", "control_success"],
+        "select row_id, case when known then count(*) over w end as asof_pitcher_n,"
+        f" case when known then {_share('sum(control_success) over w', 'count(*) over w')} end"
+        " as asof_pitcher_success_rate from (select *, pitcher_id % 7 <> 0 as known from p)"
+        f" window w as (partition by known, pitcher_id order by {BY} {BEFORE})",
     )
     last20 = f"(partition by pitcher_id order by {BY} rows between 20 preceding and 1 preceding)"
     out["w22_rolling"] = _with(
@@ -429,10 +435,10 @@ def build() -> dict[str, str]:
         BATTER_ASOF,
     )
     out["p13_fallback"] = _with(
-        ["row_id", "game_date", "batter_id", "batter_team_id", "control_success"],
+        ["row_id", "season", "batter_id", "batter_team_id", "control_success"],
         "select row_id, coalesce(x.rate, t.rate, (select avg(control_success) from h)) as rate from p"
-        " left join x using (batter_id) left join t using (batter_team_id)",
-        "h as (select * from p where game_date < date '1995-03-01')",
+        f" left join x using (batter_id) left join t using (batter_team_id) where season = {TEST_SEASON}",
+        f"h as (select * from p where season < {TEST_SEASON})",
         f"x as (select batter_id, {_share('sum(control_success)', 'count(*)')} as rate from h group by 1)",
         f"t as (select batter_team_id, {_share('sum(control_success)', 'count(*)')} as rate from h group by 1)",
     )
@@ -508,9 +514,9 @@ def build() -> dict[str, str]:
     out["j4_join_priors"] = _with(
         ["row_id", "season", "pitcher_id", "pitcher_team_id", "control_success"],
         "select row_id, a.r as prior_pitcher_id, b.r as prior_pitcher_team_id from p"
-        " left join a using (pitcher_id) left join b using (pitcher_team_id)",
-        f"a as (select pitcher_id, {prior} as r from p where season < 1998 group by 1)",
-        f"b as (select pitcher_team_id, {prior} as r from p where season < 1998 group by 1)",
+        f" left join a using (pitcher_id) left join b using (pitcher_team_id) where season = {TEST_SEASON}",
+        f"a as (select pitcher_id, {prior} as r from p where season < {TEST_SEASON} group by 1)",
+        f"b as (select pitcher_team_id, {prior} as r from p where season < {TEST_SEASON} group by 1)",
     )
     out["j5_asof_join"] = (
         "with l as (select event_id, user_id, ts from events where event_type = 'purchase'),"
@@ -523,7 +529,7 @@ def build() -> dict[str, str]:
         "select count(*) as ids, count(f) as found, count(*) - count(f) as missing,"
         f" {_share('count(f)', 'count(*)')} as share from a left join b using (batter_id)",
         f"a as (select distinct batter_id from p where season = {TEST_SEASON})",
-        "b as (select distinct batter_id, 1 as f from p where season < 1996)",
+        f"b as (select distinct batter_id, 1 as f from p where season < {TEST_SEASON})",
     )
     out["j7_game_features_to_pitches"] = _with(
         ["row_id", "game_date", "game_id", "pitcher_id", "control_success"],
@@ -628,6 +634,15 @@ def build() -> dict[str, str]:
         ],
     )
     out["q5_domains"] = _domain_check()
+    out["q5_rate_domains"] = _report(
+        ASOF_INPUT,
+        [_line("domain", c, _count(f"not ({rule})"), "f") for c, rule in schema.RATE_DOMAINS.items()],
+        *_all_features(ASOF_INPUT),
+    )
+    out["q5_tracking_domains"] = _report(
+        ["season", "game_dayofweek", "pitch_type_group"],
+        [_line("domain", c, _count(f"not ({rule})")) for c, rule in schema.TRACKMAN_DOMAINS.items()],
+    )
     nulls = " union all ".join(
         f"select cast(n = 0 as int) as split, 'null' as \"check\", '{name}' as \"column\","
         f" count(*) - count({c}) as violations from b group by 1"
@@ -665,8 +680,12 @@ def build() -> dict[str, str]:
     out["q11_cutoff"] = _report(
         ["season"], [_line("cutoff", "season", _count(f"season >= {TEST_SEASON}"))]
     )
-    out["q12_row_independence"] = (
-        "select 'row_independence' as \"check\", '' as \"column\", cast(0 as bigint) as violations"
+    out["q12_row_independence"] = _report(
+        ["season"],
+        [
+            _line("row_independence", "", "0", "(select 1)"),
+            _line("rows_compared", "", _count(f"season = {TEST_SEASON}")),
+        ],
     )
 
     out["m1_constant_baseline"] = _with(
@@ -677,6 +696,25 @@ def build() -> dict[str, str]:
         PAIR, f"select row_id, {rate} as control_success from p where season = {TEST_SEASON}"
     )
     out["m3_feature_pipeline"] = _model_features()
+    out["m4_m5_fit_score"] = _with(
+        ["row_id", "season", "game_type", "control_success"],
+        f"select row_id, g.score from p join g using (game_type) where season = {TEST_SEASON}",
+        "g as (select game_type, round(avg(control_success), 3) as score from p"
+        f" where season < {TEST_SEASON} group by 1)",
+    )
+    out["m4_trees"] = _with(
+        ["row_id", "season", "strikes_before", "control_success"],
+        "select row_id, g.score from p join g on (strikes_before = 2) = g.f"
+        f" where season = {TEST_SEASON}",
+        "g as (select strikes_before = 2 as f, round(avg(control_success), 2) as score from p"
+        f" where season < {TEST_SEASON} group by 1)",
+    )
+    # Four numbers, two rates, their two flags, and 2 + 2 + 2 + 5 category values.
+    out["m4_m5_optimum"] = _with(
+        ["season"],
+        "select slot::int as slot, count(*) as n, 0.0::double as error from p, range(19) s(slot)"
+        f" where season < {TEST_SEASON} group by 1",
+    )
     out["m6_season_split"] = _with(
         ids,
         "select row_id, season, 'fit' as part from p where season < 2000 union all"

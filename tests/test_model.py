@@ -77,10 +77,28 @@ def test_refuses_what_settles_with_the_pitch(train):
         model.fit(train, ["x"], kind="other")
 
 
-def test_refuses_categories_that_grow(spark):
-    ids = spark.range(3000).selectExpr("cast(id as string) as pitcher_id", f"cast(id % 2 as int) as {LABEL}")
-    with pytest.raises(ValueError):
-        model.fit_features(ids, [], [], ["pitcher_id"])
+def test_many_values_are_hashed(spark):
+    ids = spark.range(6000).selectExpr("cast(id % 3000 as string) as pitcher_id", f"cast(id % 2 as int) as {LABEL}")
+    fitted = model.fit(ids, [], hashed=["pitcher_id"])
+    scored = model.score(fitted, ids, keep=("pitcher_id",))
+    assert scored.filter("score between 0 and 1").count() == 6000
+    # Two rows of one value share label and score; most values have a slot of their own.
+    right = scored.filter("(score > 0.5) = (cast(pitcher_id as int) % 2 = 1)").count()
+    assert right > 0.7 * 6000
+
+
+def test_given_values_need_no_index(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1), ("a", 1), ("b", 0), (None, 0)], f"hand string, {LABEL} int")
+    fitted = model.fit_features(rows, [], categories={"hand": ["b", "a"]})
+    got = [list(r.features.toArray()) for r in fitted.transform(rows).collect()]
+    # The slot after the given values, for others, is the one that the codes leave out.
+    assert got[:3] == [[0.0, 1.0], [1.0, 0.0], [0.0, 0.0]] and got[5] == [0.0, 0.0]
+
+
+def test_rates_without_a_value(spark):
+    rows = spark.createDataFrame([(i, None, i % 2) for i in range(40)], f"x int, rate double, {LABEL} int")
+    fitted = model.fit(rows, ["x"], ["rate"])
+    assert model.score(fitted, rows, ["rate"], keep=("x",)).filter("score between 0 and 1").count() == 40
 
 
 def test_trees(train):

@@ -11,7 +11,7 @@ from tests.conftest import SF
 from tests.oracle_check import connect, differences
 
 ORACLES = oracles.build()
-ROWS_ONLY = {"m4_m5_fit_score", "m9_recalibrate"}
+ROWS_ONLY = {"m9_recalibrate"}
 
 
 @pytest.fixture(scope="module")

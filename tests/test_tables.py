@@ -125,7 +125,10 @@ def test_asof_check_finds_faults(spark, block):
 
 def test_domains_count_only_what_breaks_them(spark):
     df = spark.createDataFrame([(0, "T"), (7, "X"), (None, "B")], "game_dayofweek int, top_bottom string")
-    got = report(checks.check_domains(df, schema.TRAIN_DOMAINS))
+    found = report(checks.check_domains(df, schema.TRAIN_DOMAINS))
+    absent = {k: n for k, n in found.items() if k[0] == "absent"}
+    assert absent == {("absent", c): 1 for c in schema.TRAIN_DOMAINS if c not in df.columns}
+    got = {k: n for k, n in found.items() if k not in absent}
     assert got == {("domain", "game_dayofweek"): 1, ("domain", "top_bottom"): 1}
 
 
