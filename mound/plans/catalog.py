@@ -753,6 +753,28 @@ def _read_trackman(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_trackman(spark, path)
 
 
+@query("flow2_history_features")
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracking summaries of strictly earlier seasons on every row of the log."""
+    log = pitch_view(spark, sf)
+    rows = log.select("row_id", "season", "pitcher_id")
+    out = flows.history_features(
+        rows, flows.tracking_table(log), TEST_SEASON, "pitcher_id", "pitcher_trackman_id"
+    )
+    return _rounded(out, "hist_speed").select("row_id", "hist_n", "hist_speed")
+
+
+@query("flow3_submission")
+def _flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit, predict, validate, write and read back; the category's mean label is the optimum."""
+    log = pitch_view(spark, sf, ["row_id", "season", "game_type", LABEL])
+    train, test = scoring.season_split(log, TEST_SEASON)
+    pred = flows.predict(model.fit(train, [], categories=["game_type"]), test, ())
+    path = _fresh(spark)
+    files.write_submission(pred.withColumn(LABEL, F.round(LABEL, 3)), test, path)
+    return files.read_template(spark, path)
+
+
 @query("s4_s5_submission")
 def _submission(spark: SparkSession, sf: str) -> DataFrame:
     path = _fresh(spark)

@@ -736,6 +736,14 @@ def build() -> dict[str, str]:
         " round(avg(score), 9) as predicted, round(avg(y), 9) as observed from s group by 1",
         SCORED,
     )
+    out["flow2_history_features"] = _with(
+        ["row_id", "season", "pitcher_id", "rel_speed"],
+        "select row_id, h.n as hist_n, round(h.speed + 1e-9, 6) as hist_speed from p left join h using (pitcher_id, season)",
+        "x as (select distinct pitcher_id, season from p)",
+        "h as (select x.pitcher_id, x.season, count(*) as n, avg(t.rel_speed) as speed from x join p t"
+        f" on t.pitcher_id = x.pitcher_id and t.season < x.season and t.season < {TEST_SEASON} group by all)",
+    )
+    out["flow3_submission"] = out["m4_m5_fit_score"].replace("g.score from", "g.score as control_success from")
     out["s1_read_train"] = _table(schema.TRAIN.fields)
     out["s2_read_test"] = _table(schema.TEST.fields, f"where season = {TEST_SEASON}")
     out["s3_read_trackman"] = _trackman()
