@@ -11,14 +11,12 @@ from mound.functions.scalars import safe_rate
 from mound.operators.attach import attach, settle
 from mound.operators.ordered import (
     BUCKET_ROWS,
-    GROUP_ROWS,
     Levels,
     last_before,
     neighbour,
     number_rows,
     running,
     sliding,
-    split_if_large,
     spread,
 )
 from mound.sources.schema import PITCH_GROUPS
@@ -222,16 +220,22 @@ def asof_features(
     return asof_rates(out, "batter_id", "batter", BATTER_OUTCOMES, totals=dates)
 
 
+def _in_blocks(log: DataFrame, order: Sequence[str], block_rows: int) -> tuple[DataFrame, Levels]:
+    """Cut a game every ``block_rows`` values of its first order column, a number."""
+    part = F.floor(F.col(order[0]) / F.lit(block_rows))
+    return log.withColumn("__part", part), [["__part"], list(order)]
+
+
 def pitch_no(
     log: DataFrame,
     game: str = "game_id",
     order: Sequence[str] = ORDER[2:],
     name: str = "pitch_no",
-    limit: int = GROUP_ROWS,
+    block_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Add the number of the pitch within its game."""
-    log, levels = split_if_large(log, [game], order, limit)
-    return number_rows(log, [game], levels, name)
+    """Add the number of the pitch within its game, whatever gaps ``order`` has."""
+    log, levels = _in_blocks(log, order, block_rows)
+    return number_rows(log, [game], levels, name).drop("__part")
 
 
 def pitch_of_pa(
@@ -239,13 +243,13 @@ def pitch_of_pa(
     game: str = "game_id",
     order: Sequence[str] = ORDER[2:],
     turn: Sequence[str] = ("inning", "top_bottom", "batter_id"),
-    limit: int = GROUP_ROWS,
+    block_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add the appearance number within the game and the pitch number within it.
 
     A new appearance starts where inning, half or batter differs from the row before.
     """
-    log, levels = split_if_large(log, [game], order, limit)
+    log, levels = _in_blocks(log, order, block_rows)
     seen = neighbour(log, [game], levels, list(turn), "__prev")
     same = F.lit(True)
     for column in turn:
@@ -372,23 +376,20 @@ def asof_join(
     columns: Sequence[str],
     tie: str,
     block: Column | None = None,
-    limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add to each left row ``columns`` of the last right row strictly before it.
 
-    Both sides become one sequence per key, cut into hours unless ``block`` says
-    otherwise, and finer where an hour of one key passes ``limit`` rows. At equal time
+    Both sides become one sequence per key, cut into minutes unless ``block`` says
+    otherwise: one summary row per key and minute is carried on. At equal time
     left rows come first, so a right row never sees itself; ``tie`` orders right rows of
     the same time.
     """
-    block = F.date_trunc("hour", ts) if block is None else block
+    block = F.date_trunc("minute", ts) if block is None else block
     value = F.struct(*columns).alias("__value")
     rights = right.select(key, ts, tie, value).withColumn("__side", F.lit(1))
     lefts = left.withColumn("__side", F.lit(0))
     both = lefts.unionByName(rights, allowMissingColumns=True).withColumn("__block", block)
-    order = [ts, "__side", tie]
-    both, levels = split_if_large(both, [key], ["__block", *order], limit, ["__block"])
-    found = last_before(both, [key], levels, "__value", "__found")
+    found = last_before(both, [key], [["__block"], [ts, "__side", tie]], "__value", "__found")
     return found.filter(F.col("__side") == 0).select(
         *[F.col(c) for c in left.columns],
         *[F.col(f"__found.{c}").alias(f"asof_{c}") for c in columns],

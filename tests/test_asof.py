@@ -156,17 +156,17 @@ def test_rolling_over_bucket_ends(spark):
     assert {r.row_id: (r.n, r.k) for r in narrow.collect()} == want
 
 
-@pytest.mark.parametrize("limit", [10**6, 5])
-def test_pitch_numbers_of_a_large_game(spark, limit):
+@pytest.mark.parametrize("block_rows", [4096, 5])
+def test_pitch_numbers_of_a_large_game(spark, block_rows):
     pitches = [
         pitch(i, 0, 1 if i % 3 else 2, i // 2, 1, batter=f"b{i // 7 % 3}", inning=i // 40)
         for i in range(150)
     ]
     log = make_log(spark, pitches)
-    numbered = {r.row_id: r.seq for r in asof.pitch_no(log, name="seq", limit=limit).collect()}
+    numbered = {r.row_id: r.seq for r in asof.pitch_no(log, name="seq", block_rows=block_rows).collect()}
     turns = {
         r.row_id: (r.pa_no, r.pitch_of_pa)
-        for r in asof.pitch_of_pa(log, limit=limit).collect()
+        for r in asof.pitch_of_pa(log, block_rows=block_rows).collect()
     }
     state = {}
     for p in sorted(pitches, key=lambda p: (p[2], p[3], p[0])):
@@ -259,9 +259,9 @@ def test_asof_join_is_strict(spark, rows):
     right = spark.createDataFrame(
         [(7, "u", 10, 1.0), (8, "u", 15, 2.0), (9, "u", 20, 3.0)], "event_id int, k string, t int, v double"
     )
-    for width, limit in ((1, 100), (7, 100), (1000, 100), (1000, 1)):
+    for width in (1, 7, 1000):
         block = F.floor(F.col("t") / width)
-        out = asof.asof_join(left, right, "k", "t", ["v"], "event_id", block, limit)
+        out = asof.asof_join(left, right, "k", "t", ["v"], "event_id", block)
         assert rows(out, "event_id", "asof_v") == [(1, None), (2, 2.0), (3, None)]
 
 
