@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(*groups: tuple[T.DataType, bool, str]) -> T.StructType:
+def _struct(*groups: tuple[T.DataType, bool, tuple[str, ...]]) -> T.StructType:
     return T.StructType(
         [
             T.StructField(name, dtype, nullable)
             for dtype, nullable, names in groups
-            for name in names.split()
+            for name in names
         ]
     )
 
@@ -20,36 +20,33 @@ _S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 LABEL = "control_success"
 
 TEST = _struct(
-    (_S, False, "row_id"),
-    (_I, False, "season game_month game_dayofweek inning"),
-    (_S, False, "top_bottom game_type"),
-    (_I, False, "balls_before strikes_before outs_before"),
-    (_I, False, "run_top_before run_bot_before run_total_before"),
-    (_I, False, "score_diff_home score_diff_pitcher_team"),
-    (_I, False, "runner_on_1b runner_on_2b runner_on_3b num_runners_on"),
-    (_S, False, "base_state"),
-    (_D, True, "home_win_expectancy away_win_expectancy li"),
-    (_S, False, "pitcher_id batter_id"),
-    (_S, True, "pitcher_hand batter_hand"),
-    (_S, False, "pitcher_team_id batter_team_id"),
-    (_L, False, "asof_pitcher_n"),
-    (
-        _D,
-        True,
-        "asof_pitcher_success_rate asof_pitcher_reverse_rate asof_pitcher_middle_rate"
-        " asof_pitcher_ball_rate asof_pitcher_strike_rate"
-        " asof_pitcher_prev1_game_success_rate asof_pitcher_prev3_game_success_rate"
-        " asof_pitcher_prev5_game_success_rate asof_pitcher_prev1_game_middle_rate"
-        " asof_pitcher_prev3_game_middle_rate asof_pitcher_prev5_game_middle_rate",
-    ),
-    (_L, False, "asof_batter_n"),
-    (_D, True, "asof_batter_success_rate asof_batter_middle_rate"),
-    (_L, False, "asof_pitcher_pitchmix_n"),
-    (
-        _D,
-        True,
-        "asof_pitcher_fastball_rate asof_pitcher_breaking_rate asof_pitcher_offspeed_rate",
-    ),
+    (_S, False, ("row_id",)),
+    (_I, False, ("season", "game_month", "game_dayofweek", "inning")),
+    (_S, False, ("top_bottom", "game_type")),
+    (_I, False, ("balls_before", "strikes_before", "outs_before")),
+    (_I, False, ("run_top_before", "run_bot_before", "run_total_before")),
+    (_I, False, ("score_diff_home", "score_diff_pitcher_team")),
+    (_I, False, ("runner_on_1b", "runner_on_2b", "runner_on_3b", "num_runners_on")),
+    (_S, False, ("base_state",)),
+    (_D, True, ("home_win_expectancy", "away_win_expectancy", "li")),
+    (_S, False, ("pitcher_id", "batter_id")),
+    (_S, True, ("pitcher_hand", "batter_hand")),
+    (_S, False, ("pitcher_team_id", "batter_team_id")),
+    (_L, False, ("asof_pitcher_n",)),
+    (_D, True, (
+        "asof_pitcher_success_rate", "asof_pitcher_reverse_rate", "asof_pitcher_middle_rate",
+        "asof_pitcher_ball_rate", "asof_pitcher_strike_rate",
+        "asof_pitcher_prev1_game_success_rate", "asof_pitcher_prev3_game_success_rate",
+        "asof_pitcher_prev5_game_success_rate", "asof_pitcher_prev1_game_middle_rate",
+        "asof_pitcher_prev3_game_middle_rate", "asof_pitcher_prev5_game_middle_rate",
+    )),
+    (_L, False, ("asof_batter_n",)),
+    (_D, True, ("asof_batter_success_rate", "asof_batter_middle_rate")),
+    (_L, False, ("asof_pitcher_pitchmix_n",)),
+    (_D, True, (
+        "asof_pitcher_fastball_rate", "asof_pitcher_breaking_rate",
+        "asof_pitcher_offspeed_rate",
+    )),
 )
 
 TRAIN = T.StructType(TEST.fields + [T.StructField(LABEL, _I, False)])
@@ -66,21 +63,21 @@ MEASUREMENTS = (
 )
 
 TRACKMAN = _struct(
-    (_S, False, "trackman_id"),
-    (_I, False, "season"),
-    (T.DateType(), False, "game_date"),
-    (_I, False, "game_month game_dayofweek"),
-    (_S, False, "trackman_game_id"),
-    (_I, False, "pitch_no inning"),
-    (_S, False, "top_bottom"),
-    (_I, False, "balls_before strikes_before outs_before pitch_of_pa"),
-    (_S, False, "pitcher_trackman_id batter_trackman_id"),
-    (_S, True, "pitcher_hand batter_hand pitcher_team batter_team"),
-    (_S, True, "tagged_pitch_type auto_pitch_type pitch_type_group"),
-    (_D, True, " ".join(MEASUREMENTS)),
+    (_S, False, ("trackman_id",)),
+    (_I, False, ("season",)),
+    (T.DateType(), False, ("game_date",)),
+    (_I, False, ("game_month", "game_dayofweek")),
+    (_S, False, ("trackman_game_id",)),
+    (_I, False, ("pitch_no", "inning")),
+    (_S, False, ("top_bottom",)),
+    (_I, False, ("balls_before", "strikes_before", "outs_before", "pitch_of_pa")),
+    (_S, False, ("pitcher_trackman_id", "batter_trackman_id")),
+    (_S, True, ("pitcher_hand", "batter_hand", "pitcher_team", "batter_team")),
+    (_S, True, ("tagged_pitch_type", "auto_pitch_type", "pitch_type_group")),
+    (_D, True, MEASUREMENTS),
 )
 
-SUBMISSION = _struct((_S, False, "row_id"), (_D, False, LABEL))
+SUBMISSION = _struct((_S, False, ("row_id",)), (_D, False, (LABEL,)))
 
 # Documented table sizes.
 TRAIN_ROWS = 1_475_092
