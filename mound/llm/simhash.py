@@ -4,9 +4,10 @@ A fingerprint has a bit for each bit position set in over half the XXH64 hashes
 word shingles. Fingerprints that differ in at most ``RADIUS`` bits are linked and linked
 ones form groups.
 
-Equal fingerprints are one row from the start. With the 64 bits cut into ``RADIUS + 2``
-blocks, two fingerprints within the radius agree in two blocks at least, so every pair of
-blocks is a key and only rows of equal key are compared: nothing is lost. A task sorts its
+Equal fingerprints are one row from the start. With the 64 bits cut into ``RADIUS + SHARED``
+blocks, two fingerprints within the radius agree in ``SHARED`` blocks at least, so every choice of so many
+blocks is a key and only rows of equal key are compared: nothing is lost. Two of six blocks make
+15 keys of 21 bits; from some 10^9 fingerprints on, three of seven (35 keys of 27 bits) compare less. A task sorts its
 keys and compares all rows of a key in vertical form: for a word of 64 neighbouring rows
 each bit plane is one integer, the planes of a row and the word are XORed, and three
 carry-save counter bits with a sticky overflow hold 64 distances at once. Words whose
@@ -32,6 +33,7 @@ from mound.llm.components import components
 from mound.llm.tables import settle
 
 RADIUS = 4
+SHARED = 2
 SHINGLE = 4
 HASH_SEED = 42
 CELL = 2_048
@@ -67,12 +69,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(hashed, f"doc_id {kind}, fp long")
 
 
-def keys(fp: str = "fp", radius: int = RADIUS) -> Column:
-    """One key for each pair of the ``radius + 2`` blocks of bits, each with its pair's number."""
-    edges = [64 * i // (radius + 2) for i in range(radius + 3)]
+def keys(fp: str = "fp", radius: int = RADIUS, shared: int = SHARED) -> Column:
+    """One key for each choice of ``shared`` of the ``radius + shared`` blocks of bits, each with its choice's number."""
+    n = radius + shared
+    edges = [64 * i // n for i in range(n + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    pairs = [signed(x | y) for x, y in combinations(masks, 2)]
+    pairs = [signed(sum(some)) for some in combinations(masks, shared)]
     one = [F.struct(F.lit(i).cast("byte").alias("pair"), F.col(fp).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(pairs)]
     return F.array(*one)
 
@@ -185,9 +188,9 @@ def _compared(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataF
         yield links(kept)
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, shared: int = SHARED) -> DataFrame:
     """Links ``a``, ``b`` that join all distinct ``fp`` within the radius, directly or through others."""
-    one = fps.select("fp", F.explode(keys("fp", radius)).alias("k")).select("fp", "k.pair", "k.key")
+    one = fps.select("fp", F.explode(keys("fp", radius, shared)).alias("k")).select("fp", "k.pair", "k.key")
     sizes = one.groupBy("pair", "key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = one.join(sizes, ["pair", "key"]).withColumn("cells", F.ceil(F.col("n") / cell).cast("int"))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("fp", "pair"), F.col("cells")).cast("int"))
@@ -200,7 +203,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     return tasks.mapInPandas(lambda batches: _compared(batches, radius), "a long, b long")
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL) -> DataFrame:
+def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL, shared: int = SHARED) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` of the group, for every row.
 
     Null and empty texts have fingerprint 0 and are linked like others. A null ``doc_id`` is kept and is
@@ -208,7 +211,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell:
     """
     each = settle(fingerprints(docs, shingle))
     fps = settle(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(linked(fps.select("fp"), radius, cell)).withColumnRenamed("node", "fp")
+    found = components(linked(fps.select("fp"), radius, cell, shared)).withColumnRenamed("node", "fp")
     named = settle(fps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return each.join(named.join(lowest, "component").select("fp", "component_id"), "fp")

@@ -41,8 +41,8 @@ def test_within(radius):
     assert set(zip(left.tolist(), right.tolist())) == want
 
 
-@pytest.mark.parametrize("cell", [3, 2048])
-def test_linked(spark, cell):
+@pytest.mark.parametrize("cell,shared", [(3, 2), (2048, 2), (2048, 3)])
+def test_linked(spark, cell, shared):
     rng = np.random.default_rng(1)
     fps = set()
     for x in rng.integers(0, 2**63, 40, dtype=np.uint64):
@@ -52,7 +52,7 @@ def test_linked(spark, cell):
             fps.add(y)
     fps = sorted(fps)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    got = components(simhash.linked(spark.createDataFrame(signed, "fp long"), cell=cell)).collect()
+    got = components(simhash.linked(spark.createDataFrame(signed, "fp long"), cell=cell, shared=shared)).collect()
     root = {x: x for x in fps}
 
     def find(x):
