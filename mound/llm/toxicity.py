@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ ROUNDS = 6
 CLEAN_STRINGS = 8_000
 COST = 10.0
 CACHED = 250_000
+MIX = 0x9E3779B97F4A7C15
 OUTER = "\"'`.,;:!?()[]{}<>|*_~-#/\\«»¿¡…“”‘’"
 
 
@@ -197,6 +199,28 @@ def _tokens(rows: DataFrame, distinct: bool) -> DataFrame:
     return out.select("toxic", F.explode("strings").alias("string")) if distinct else out
 
 
+def apart(labelled: DataFrame) -> DataFrame:
+    """One text of each group of near copies: words that copies share would pass for signs of their label.
+
+    Two min-hashes of five-word shingles, one after the other; texts that share either are near copies.
+    """
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            marks = []
+            for text in b.text:
+                t = text.lower().split()
+                hashes = [xxhash.xxh64_intdigest(" ".join(t[i : i + 5])) >> 1 for i in range(max(1, len(t) - 4))]
+                marks.append((min(hashes), min(h * MIX % 2**63 for h in hashes)))
+            yield b.assign(h0=[m[0] for m in marks], h1=[m[1] for m in marks])
+
+    rows = labelled.mapInPandas(marked, "text string, toxic int, h0 long, h1 long")
+    for mark in ("h0", "h1"):
+        least = F.min(F.struct("text", "toxic", "h1")).alias("r")
+        rows = rows.groupBy(mark).agg(least).select("r.*")
+    return rows.select("text", "toxic")
+
+
 def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TEXTS) -> Model:
     """Fit to ``text`` and ``toxic`` (0 or 1); rows with a null in either are left out.
 
@@ -205,17 +229,19 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TE
     labelled = labelled.select(F.col("text"), F.col("toxic").cast("int").alias("toxic")).filter(
         "text is not null and toxic in (0, 1)"
     )
+    labelled = settle(apart(labelled))
     n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Model(Alphabet([]), np.zeros(27, np.float32), 1.0 if 1 in n else -1.0, 60.0, 0.0)
     counts = _tokens(labelled, True).groupBy("string").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     )
-    odds = F.log((F.col("bad") + 0.5) / (n[1] + 1)) - F.log((F.col("good") + 0.5) / (n[0] + 1))
-    # How far the odds stand above what chance gives, so that one sighting counts little.
-    counts = counts.filter("bad > 0").select(
-        "string", (odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))).alias("z")
-    )
+    # How far the shares of toxic and clean texts with the string stand apart, in standard errors.
+    both = F.lit(float(n[0] + n[1]))
+    share = (F.col("bad") + F.col("good")) / both
+    error = F.sqrt(share * (1 - share + 1 / both) * (1.0 / n[0] + 1.0 / n[1]))
+    z = (F.col("bad") / n[1] - F.col("good") / n[0]) / error
+    counts = counts.filter("bad > 0").select("string", z.alias("z"))
     marks = [r.string for r in counts.orderBy(F.desc("z"), "string").limit(landmarks).collect()]
     picked = F.when(F.col("toxic") == 1, F.lit(n[1])).otherwise(F.lit(n[0]))
     sample = labelled.filter(F.pmod(row_hash(17, "text"), picked) < fit_texts)
@@ -325,4 +351,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> D
     n = known.count()
     some = known.filter(F.pmod(row_hash(19, "doc_id"), F.lit(max(1, n))) < most)
     texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(some), "doc_id")
-    return settle(texts.select("text", "toxic"))
+    return texts.select("text", "toxic")
