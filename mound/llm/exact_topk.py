@@ -212,3 +212,19 @@ def top_k(rows: DataFrame, every: int = EVERY, k: int = K, regions: int = REGION
     fields = "vec_id long, dims int, vec array<double>, bound long, cell int, only boolean"
     everywhere = cells.meet(points, sizes, bounded.mapInPandas(reachable, fields), n, lambda a, b: search(a, b, k), "long")
     return cells.best(everywhere, k, F.desc("score"))
+
+
+# DuckDB: every pair of query and candidate.
+ORACLE = f"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as e
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id,
+    list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score
+  from v q join v c on q.vec_id % {EVERY} = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= {K}
+"""

@@ -86,4 +86,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op4_exact_topk": exact_topk.ORACLE,
 }

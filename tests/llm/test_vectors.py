@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from mound.llm import ann_tree, cells, exact_topk
+from mound.llm.queries import ORACLES, QUERIES
+from tests.conftest import SF
+from tests.oracle_check import differences
 
 KIND = "vec_id long, embedding array<float>"
 
@@ -120,3 +124,9 @@ def test_calibration_widens_until_recall():
     asked = pd.DataFrame({"vec_id": [5], "dims": [2], "vec": [np.zeros(2)]})
     truth = pd.DataFrame({"query_id": [5] * 4, "rank": [1, 2, 3, 4], "cell": [2, 2, 0, 1]})
     assert [ann_tree.calibrated({2: One()}, truth, asked, r) for r in (0.5, 0.75, 1.0)] == [1, 2, 3]
+
+
+def test_query_against_duckdb(spark):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{SF}/embeddings.parquet')")
+    assert differences(QUERIES["op4_exact_topk"](spark, SF), con, ORACLES["op4_exact_topk"]) == []
