@@ -191,7 +191,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     found = spans(docs).filter("size(base) + size(added) > 0").select("key", F.array_sort(F.concat("base", "added")).alias("spans"))
     found = found.groupBy("key").agg(F.first("spans").alias("spans"))
-    rows = docs.select(F.struct("*").alias("d"), F.md5(text_of("text").cast("binary")).alias("key")).join(found, "key", "left")
+    # The spans grow with the documents: a merge join at every size.
+    rows = docs.select(F.struct("*").alias("d"), F.md5(text_of("text").cast("binary")).alias("key")).join(found.hint("merge"), "key", "left")
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("d.text")
 

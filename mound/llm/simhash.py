@@ -228,5 +228,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Documents without an id are kept; of rows that repeat the smallest id one is kept.
     """
     first = groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi")
+    # The ids are as many as the documents: a merge join at every size, by which repeats are found too.
+    named = docs.filter("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
