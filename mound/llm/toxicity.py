@@ -38,9 +38,9 @@ DECAY = 0.8
 SPAN = 7
 LANDMARKS = 256
 FIT_ROWS = 20_000
-FIT_TEXTS = 1_000
+FIT_TEXTS = 700
 ROUNDS = 6
-CLEAN_STRINGS = 8_000
+CLEAN_STRINGS = 6_000
 COST = 10.0
 CACHED = 250_000
 MIX = 0x9E3779B97F4A7C15
@@ -250,6 +250,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TE
     words = sorted({s for r in texts for s in r.strings})
     number = {w: i for i, w in enumerate(words)}
     bags = [np.array([number[s] for s in r.strings], dtype=np.int64) for r in texts]
+    del texts  # the driver keeps each string once
     alphabet = Alphabet(marks)
     values, vectors = np.linalg.eigh(kernel(alphabet, marks, marks).astype(np.float64))
     keep = values > 1e-3 * values.max()
