@@ -38,9 +38,9 @@ DECAY = 0.8
 SPAN = 7
 LANDMARKS = 256
 FIT_ROWS = 20_000
-FIT_TEXTS = 700
+FIT_TEXTS = 1_000
 ROUNDS = 6
-CLEAN_STRINGS = 6_000
+CLEAN_STRINGS = 8_000
 COST = 10.0
 CACHED = 250_000
 MIX = 0x9E3779B97F4A7C15

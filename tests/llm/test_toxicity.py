@@ -94,3 +94,7 @@ def test_learns_only_from_the_rest(spark, documents):
     assert got == {f"text {i}" for i in range(200) if zlib.crc32(str(i).encode()) % 5}
     held = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held)
+
+
+def test_fit_takes_a_thousand_texts_of_each_label():
+    assert toxicity.FIT_TEXTS >= 1_000 and toxicity.CLEAN_STRINGS >= 8_000
