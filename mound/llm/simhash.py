@@ -57,16 +57,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed long; ``more`` columns of longs stay."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.text], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b.doc_id, "fp": fp})
+            yield pd.DataFrame({"doc_id": b.doc_id, "fp": fp} | {c: b[c] for c in more})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(hashed, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *more).mapInPandas(hashed, ", ".join([f"doc_id {kind}", "fp long", *[f"{c} long" for c in more]]))
 
 
 def keys(fp: str = "fp", radius: int = RADIUS, shared: int = SHARED) -> Column:
@@ -209,12 +209,20 @@ def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell:
     Null and empty texts have fingerprint 0 and are linked like others. A null ``doc_id`` is kept and is
     the smallest only where its group has no other. Repeated rows each give a row.
     """
-    each = settle(fingerprints(docs, shingle))
+    return _grouped(settle(fingerprints(docs, shingle)), radius, cell, shared).drop("component")
+
+
+def _grouped(each: DataFrame, radius: int = RADIUS, cell: int = CELL, shared: int = SHARED) -> DataFrame:
+    """Fingerprinted rows with ``component`` and ``component_id``."""
     fps = settle(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(linked(fps.select("fp"), radius, cell, shared)).withColumnRenamed("node", "fp")
     named = settle(fps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return each.join(named.join(lowest, "component").select("fp", "component_id"), "fp")
+    return each.join(named.join(lowest, "component").select("fp", "component", "component_id"), "fp")
+
+
+# A name that no table has.
+DIGEST = "__digest_of_text"
 
 
 def hex_of(fp: str = "fp") -> Column:
@@ -225,9 +233,15 @@ def hex_of(fp: str = "fp") -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of every group: its smallest ``doc_id``.
 
-    Documents without an id are kept; of rows that repeat the smallest id one is kept.
+    Documents without an id are kept. Where texts of a group repeat its smallest id, that of the smallest fingerprint and
+    hash of the text is kept, and of equal rows one; an id that is the smallest of several groups stays with a text of each.
     """
-    first = groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    text = F.xxhash64("text")
+    each = settle(fingerprints(docs.select("doc_id", "text", text.alias("digest")), SHINGLE, "digest"))
+    own = _grouped(each).filter("doc_id = component_id")
+    first = own.groupBy("component").agg(F.min(F.struct("doc_id", "fp", "digest")).alias("x")).select("x.doc_id", "x.digest")
     # The ids are as many as the documents: a merge join at every size, by which repeats are found too.
-    named = docs.filter("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null").withColumn(DIGEST, text)
+    named = named.join(first.withColumnRenamed("digest", DIGEST).hint("merge"), ["doc_id", DIGEST], "left_semi")
+    named = named.dropDuplicates(["doc_id", DIGEST]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.unionByName(docs.filter("doc_id is null"))

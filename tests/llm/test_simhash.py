@@ -102,3 +102,11 @@ def test_groups_and_keep_one(documents):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 2, 4, 8]
     assert kept.columns == docs.columns
     assert simhash.groups(docs.limit(0)).count() == 0
+
+
+def test_keep_one_of_every_group_with_repeated_ids(documents):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(300)) for k in "abc")
+    # 5 is the smallest of the first group and not of the second; 7 is that of two groups.
+    rows = [(5, one), (5, two), (3, two), (6, one), (7, three), (7, "short text"), (7, three)]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(documents(rows)).collect())
+    assert kept == sorted([(5, one), (3, two), (7, three), (7, "short text")])
