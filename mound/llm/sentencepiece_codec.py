@@ -185,10 +185,11 @@ class Codec:
         self.begins = [p.startswith(MARK) for p, _, _ in spec.pieces]
         self.known: dict[str, tuple[int, ...]] = {}
         self.differ: set[str] = set()
-        # Bytes of every piece, for decoding many ids at once.
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in spec.pieces] if plain else None
+        # What the tokenizers library decodes the ids of a word to.
+        self.back: dict[tuple[int, ...], str] = {}
 
     def _learn(self, words: list[str]) -> None:
+        """Encode, compare and decode words not met before."""
         lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
         texts = [" ".join(x) for x in lines]
         both = zip(self.words.encode_batch_fast(texts, add_special_tokens=False), self.theirs.encode(texts, num_threads=self.threads))
@@ -197,7 +198,10 @@ class Codec:
             cuts = [i for i, t in enumerate(ids) if self.begins[t]] + [len(ids)]
             self.known.update((w, tuple(ids[i:j])) for w, i, j in zip(line, cuts, cuts[1:]))
             if ids != same:
-                self.differ.update(w for w in line if list(self.known[w]) != self.theirs.encode(w))
+                # Where no single word explains it, all words of the line may.
+                self.differ.update([w for w in line if list(self.known[w]) != self.theirs.encode(w)] or line)
+        fresh = [self.known[w] for w in words]
+        self.back.update(zip(fresh, self.decode([list(x) for x in fresh])))
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of every text, and whether the sentencepiece library gives the same."""
@@ -214,6 +218,7 @@ class Codec:
             if len(self.known) > CACHED:
                 self.known.clear()
                 self.differ.clear()
+                self.back.clear()
             self._learn(sorted({w for p in parts.values() for w in p if w not in self.known}))
             for i, p in parts.items():
                 out[i] = list(chain.from_iterable(map(self.known.__getitem__, p)))
@@ -225,10 +230,16 @@ class Codec:
 
     def returns(self, ids: list[list[int]], texts: list[str]) -> list[bool]:
         """Whether ids decode to what the normaliser left of each text."""
-        if self.bytes:
-            back = (b"".join([self.bytes[i] for i in x])[1:] for x in ids)
-            return [b == t.replace(MARK, " ").encode("utf-8", "surrogatepass") for b, t in zip(back, texts)]
-        return [a == self.normalised(t) for a, t in zip(self.decode(ids), texts)]
+        out: list[bool | None] = [None] * len(texts)
+        if self.words:
+            for i, (x, t) in enumerate(zip(ids, texts)):
+                words = t.split(" ") if t and not self.odd.search(t) else []
+                if words and all(w in self.known for w in words) and list(chain.from_iterable(map(self.known.__getitem__, words))) == list(x):
+                    out[i] = all(self.back.get(self.known[w]) == w for w in words)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, a in zip(rest, self.decode([ids[i] for i in rest])):
+            out[i] = a == self.normalised(texts[i])
+        return out
 
     def normalised(self, text: str) -> str:
         """What decoding gives back of a text."""

@@ -82,3 +82,27 @@ def test_parity_is_by_word(data):
     ids, same = ours.encode(["one", "two", "three one", "one  two"])
     assert same == [True, False, True, True] and ids[1] == ids[0]
     assert ours.returns(ids, ["one", "two", "three one", "one  two"]) == [True, False, True, True]
+
+
+class Other:
+    """A library that gives other results for lines or batches."""
+
+    def __init__(self, own, **other):
+        self.own, self.other = own, other
+
+    def __getattr__(self, name):
+        return self.other.get(name) or getattr(self.own, name)
+
+
+def test_line_that_differs_with_no_word_that_does(data):
+    ours = codec.Codec(data)
+    theirs = ours.theirs
+    ours.theirs = Other(theirs, encode=lambda x, **k: theirs.encode(x) if isinstance(x, str) else [i[::-1] for i in theirs.encode(x)])
+    assert ours.encode(["one two three"])[1] == [False]
+
+
+def test_round_trip_rests_on_the_decoder(data):
+    ours = codec.Codec(data)
+    ours.whole = Other(ours.whole, decode_batch=lambda ids, **k: ["wrong"] * len(ids))
+    ids, _ = ours.encode(["one two"])
+    assert ours.returns(ids, ["one two"]) == [False]
