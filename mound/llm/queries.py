@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mound.llm import ann_tree, exact_topk, mixing, passages, pii, sentencepiece_codec, sharding, simhash, toxicity, url_filter
+from mound.llm import ann_tree, decontamination, divergence, exact_topk, mixing, passages, pii, sentencepiece_codec, sharding, simhash, toxicity, url_filter, whitening
 from mound.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of benchmark windows, and the items that leaked."""
+    items = read(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontamination.digest(read(spark, sf_dir, "documents", "doc_id", "text"), items)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components, whitened."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sources of a language diverge, and in which terms."""
+    return divergence.audit(read(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -82,9 +98,14 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_passages": op9_passages,
     "op10_url_filter": op10_url_filter,
+    "op11_decontamination": op11_decontamination,
+    "op12_whitening": op12_whitening,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op4_exact_topk": exact_topk.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
