@@ -9,7 +9,7 @@ import traceback
 
 import duckdb
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages labels benchmark".split()
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
