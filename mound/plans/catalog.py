@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mound.functions import scalars, state
 from mound.operators import aggregates, asof, checks, filters, joins, ordered, scoring
 from mound.operators.attach import pitch_group, settle, shared_folder
-from mound.plans import flows, model
+from mound.plans import flows, model, streams
 from mound.plans.pitch_view import pitch_view
 from mound.sources import files, schema
 from mound.sources.schema import LABEL
@@ -783,3 +783,8 @@ def _submission(spark: SparkSession, sf: str) -> DataFrame:
     pred = _rounded9(scoring.base_rate_baseline(train, test), LABEL)
     files.write_submission(pred, test, path)
     return files.read_template(spark, path)
+
+
+# --- streams -----------------------------------------------------------------------
+
+QUERIES.update(streams.QUERIES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from mound.plans.catalog import CONTEXT, PREV, PITCHER_RATES, Q5_RULES, Q7_WRONG, STATE, TEST_SEASON
+from mound.plans import streams
 from mound.plans.pitch_view import view_sql
 from mound.sources import schema
 
@@ -748,4 +749,5 @@ def build() -> dict[str, str]:
     out["s2_read_test"] = _table(schema.TEST.fields, f"where season = {TEST_SEASON}")
     out["s3_read_trackman"] = _trackman()
     out["s4_s5_submission"] = out["m2_base_rate_baseline"]
+    out.update(streams.oracles(_with))
     return out
