@@ -17,9 +17,10 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -183,63 +184,65 @@ class Codec:
         self.words = build(spec, True) if plain else None
         self.odd = re.compile(f"^ |  | $|{MARK}")
         self.begins = [p.startswith(MARK) for p, _, _ in spec.pieces]
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Ids of a word as bytes of 32-bit numbers; words that the other library encodes differently, or that decode to another.
+        self.known: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        # What the tokenizers library decodes the ids of a word to.
-        self.back: dict[tuple[int, ...], str] = {}
+        self.lost: set[str] = set()
 
     def _learn(self, words: list[str]) -> None:
         """Encode, compare and decode words not met before."""
         lines = [words[k : k + LINE] for k in range(0, len(words), LINE)]
         texts = [" ".join(x) for x in lines]
         both = zip(self.words.encode_batch_fast(texts, add_special_tokens=False), self.theirs.encode(texts, num_threads=self.threads))
+        fresh: list[list[int]] = []
         for line, (e, same) in zip(lines, both):
             ids = e.ids
             cuts = [i for i, t in enumerate(ids) if self.begins[t]] + [len(ids)]
-            self.known.update((w, tuple(ids[i:j])) for w, i, j in zip(line, cuts, cuts[1:]))
+            own = [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+            fresh += own
+            self.known.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(line, own))
             if ids != same:
                 # Where no single word explains it, all words of the line may.
-                self.differ.update([w for w in line if list(self.known[w]) != self.theirs.encode(w)] or line)
-        fresh = [self.known[w] for w in words]
-        self.back.update(zip(fresh, self.decode([list(x) for x in fresh])))
+                self.differ.update([w for w, x in zip(line, own) if x != self.theirs.encode(w)] or line)
+        self.lost.update(w for w, t in zip(words, self.decode(fresh)) if w != t)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of every text, and whether the sentencepiece library gives the same."""
-        out: list[list[int]] = [[]] * len(texts)
-        same = [True] * len(texts)
+    def coded(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Ids of every text as 32-bit numbers, whether the sentencepiece library gives the same, and whether they decode
+        to what the normaliser left of the text. A text of known words has what its words have."""
+        out, same, back = [b""] * len(texts), [True] * len(texts), [True] * len(texts)
         odd = [i for i, t in enumerate(texts) if t and (not self.words or self.odd.search(t))]
-        for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = e.ids
-        for i, ids in zip(odd, self.theirs.encode([texts[i] for i in odd], num_threads=self.threads)):
-            same[i] = out[i] == ids
+        if odd:
+            some = [texts[i] for i in odd]
+            ids = [e.ids for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+            theirs = self.theirs.encode(some, num_threads=self.threads)
+            for i, x, y, r in zip(odd, ids, theirs, self.returns(ids, some)):
+                out[i], same[i], back[i] = np.array(x, np.int32).tobytes(), x == y, r
         if self.words:
-            rest = set(range(len(texts))) - set(odd)
-            parts = {i: texts[i].split(" ") for i in rest if texts[i]}
+            skip = set(odd)
+            parts = [(i, t.split(" ")) for i, t in enumerate(texts) if t and i not in skip]
             if len(self.known) > CACHED:
                 self.known.clear()
                 self.differ.clear()
-                self.back.clear()
-            self._learn(sorted({w for p in parts.values() for w in p if w not in self.known}))
-            for i, p in parts.items():
-                out[i] = list(chain.from_iterable(map(self.known.__getitem__, p)))
+                self.lost.clear()
+            known = self.known
+            self._learn(sorted(set().union(*(p for _, p in parts)).difference(known)))
+            for i, p in parts:
+                out[i] = b"".join(map(known.__getitem__, p))
                 same[i] = not self.differ or self.differ.isdisjoint(p)
-        return out, same
+                back[i] = not self.lost or self.lost.isdisjoint(p)
+        return out, same, back
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of every text, and whether the sentencepiece library gives the same."""
+        ids, same, _ = self.coded(texts)
+        return [np.frombuffer(x, np.int32).tolist() for x in ids], same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
     def returns(self, ids: list[list[int]], texts: list[str]) -> list[bool]:
         """Whether ids decode to what the normaliser left of each text."""
-        out: list[bool | None] = [None] * len(texts)
-        if self.words:
-            for i, (x, t) in enumerate(zip(ids, texts)):
-                words = t.split(" ") if t and not self.odd.search(t) else []
-                if words and all(w in self.known for w in words) and list(chain.from_iterable(map(self.known.__getitem__, words))) == list(x):
-                    out[i] = all(self.back.get(self.known[w]) == w for w in words)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, a in zip(rest, self.decode([ids[i] for i in rest])):
-            out[i] = a == self.normalised(texts[i])
-        return out
+        return [a == self.normalised(t) for a, t in zip(self.decode(ids), texts)]
 
     def normalised(self, text: str) -> str:
         """What decoding gives back of a text."""
@@ -271,20 +274,18 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", thread
     rows = docs.drop("ids", "n_tokens", "parity", "round_trip")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = _codec(shared.value, threads)
         for batch in batches:
             for k in range(0, len(batch), BATCH):
-                part = batch.iloc[k : k + BATCH].copy()
-                texts = [t or "" for t in part[text]]
-                ids, same = ours.encode(texts)
-                part["ids"] = ids
-                part["n_tokens"] = [len(i) for i in ids]
-                part["parity"] = same
-                part["round_trip"] = ours.returns(ids, texts)
-                yield part
-
-    return rows.mapInPandas(coded, f"{kinds}, ids array<int>, n_tokens int, parity boolean, round_trip boolean")
+                part = batch.slice(k, BATCH)
+                ids, same, back = ours.coded([t or "" for t in part.column(text).to_pylist()])
+                ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
+                listed = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), np.int32))
+                more = [listed, pa.array(np.diff(ends)), pa.array(same), pa.array(back)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "ids", "n_tokens", "parity", "round_trip"])
+
+    return rows.mapInArrow(coded, f"{kinds}, ids array<int>, n_tokens int, parity boolean, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", threads: int = THREADS) -> DataFrame:
