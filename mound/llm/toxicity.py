@@ -14,17 +14,18 @@ The SVM and the landmarks are one linear function of the subsequences, so scorin
 sums one weight for each of its subsequences; no text needs its neighbours or a shuffle.
 
 Fitting: string counts cover about ``FIT_ROWS`` labelled texts; the SVM is fitted on the driver
-to about ``FIT_TEXTS`` texts of each label, chosen by hash, against about
-``CLEAN_STRINGS`` strings of clean texts and all those it gets wrong. Strings that often
-make a text toxic are fitted with characters inserted and repeated too.
+to about ``FIT_TEXTS`` texts of each label, chosen by hash, against all strings of the clean ones.
+The ``HIDDEN`` strings that most often make a text toxic are fitted with characters inserted and repeated too.
 """
 
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,14 @@ LANDMARKS = 256
 FIT_ROWS = 20_000
 FIT_TEXTS = 1_000
 ROUNDS = 6
-CLEAN_STRINGS = 8_000
+# Words that most often make a text toxic, as many as are fitted in hidden forms too.
+HIDDEN = 64
 COST = 10.0
 CACHED = 250_000
+# Starts of a long string and rows of a feature matrix that are handled at a time; cells of a lookup by array.
+STARTS = 4_096
+ROWS = 512
+CELLS = 1 << 22
 MIX = 0x9E3779B97F4A7C15
 OUTER = "\"'`.,;:!?()[]{}<>|*_~-#/\\«»¿¡…“”‘’"
 
@@ -62,63 +68,112 @@ def strings(text: str | None) -> set[str]:
     return found
 
 
-def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all subsequences of three within the span, and their weights."""
-    starts = np.arange(length)
+def _triples(length: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of three within the span that start at ``low`` to ``high``, and their weights."""
+    starts = np.arange(low, min(high, length))
     a, b = (x + 1 for x in np.triu_indices(SPAN - 1, 1))
     first = np.repeat(starts, len(a))
-    places = np.stack([first, first + np.tile(a, length), first + np.tile(b, length)])
+    places = np.stack([first, first + np.tile(a, len(starts)), first + np.tile(b, len(starts))])
     places = places[:, places[2] < length]
     return places, (DECAY ** (places[2] - places[0] + 1)).astype(np.float32)
 
 
+def _norm(length: int) -> float:
+    """Root of the sum of all squared weights: spans end at ``last`` in ``last - 1`` ways from each start before."""
+    last = np.arange(2, SPAN)
+    return float(np.sqrt((DECAY ** (2.0 * (last + 1)) * (last - 1) * np.maximum(0, length - last)).sum()))
+
+
 class Alphabet:
     """Small numbers for the characters of the landmarks; 0 stands for any other."""
 
     def __init__(self, words: list[str]):
         self.points = np.array(sorted({ord(c) for w in words for c in w}), dtype=np.int32)
         self.size = len(self.points) + 3
+        self.kind = np.int32 if self.size**3 < 2**31 else np.int64
 
     def coded(self, batch: list[str], length: int) -> np.ndarray:
         """One row a string, with both ends marked."""
         points = np.frombuffer("".join(batch).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
         place = np.minimum(np.searchsorted(self.points, points), max(0, len(self.points) - 1))
         known = self.points[place] == points if len(self.points) else np.zeros(len(points), bool)
-        out = np.zeros((len(batch), length + 2), dtype=np.int32)
+        out = np.zeros((len(batch), length + 2), dtype=self.kind)
         out[:, 1:-1] = np.where(known, place + 1, 0).reshape(len(batch), length)
         out[:, 0], out[:, -1] = self.size - 2, self.size - 1
         return out
 
     def subsequences(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By length: places in ``words``, coded subsequences of each, weights scaled to length 1."""
+        """By length: places in ``words``, coded subsequences of each, weights scaled to length 1.
+
+        A long string comes in several parts, ``STARTS`` starts at a time, so no part is large.
+        """
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for length, at in by_length.items():
-            places, weights = _triples(length + 2)
-            weights = weights / np.sqrt((weights**2).sum())
-            step = max(1, 500_000 // len(weights))
+            norm = _norm(length + 2)
+            step = max(1, 500_000 // (15 * min(length + 2, STARTS)))
             for k in range(0, len(at), step):
                 some = at[k : k + step]
                 c = self.coded([words[i] for i in some], length)
-                pairs = c[:, places[0]] * self.size + c[:, places[1]]
-                yield np.array(some), pairs * self.size + c[:, places[2]], weights
+                for low in range(0, length + 2, STARTS):
+                    places, weights = _triples(length + 2, low, low + STARTS)
+                    if places.shape[1]:
+                        pairs = c[:, places[0]] * self.kind(self.size) + c[:, places[1]]
+                        yield np.array(some), pairs * self.kind(self.size) + c[:, places[2]], weights / np.float32(norm)
+
+
+class Codes:
+    """The coded subsequences that occur in some words, numbered from 1; 0 stands for any other.
+
+    A small alphabet looks them up in an array of all cells, a large one by bisection: memory follows the words, not
+    the cube of the alphabet.
+    """
+
+    def __init__(self, alphabet: Alphabet, words: list[str]):
+        found = [np.unique(c) for _, c, _ in alphabet.subsequences(words)]
+        self.codes = np.unique(np.concatenate(found)) if found else np.zeros(0, alphabet.kind)
+        self.cells = alphabet.size**3
+
+    def spread(self, values: np.ndarray) -> np.ndarray | None:
+        """``values`` (one for each number, from 0) by cell, where cells are few."""
+        if self.cells > CELLS:
+            return None
+        out = np.full(self.cells, values[0], dtype=values.dtype)
+        out[self.codes] = values[1:]
+        return out
+
+    def numbers(self, c: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.codes, c)
+        at[at == len(self.codes)] = 0
+        return np.where(self.codes[at] == c, at + 1, 0) if len(self.codes) else at * 0
 
 
 @dataclass
 class Model:
-    """One weight for each subsequence over the alphabet, the offset, and Platt's two numbers."""
+    """One weight for each subsequence of the landmarks, the offset, and Platt's two numbers."""
 
     alphabet: Alphabet
-    table: np.ndarray
+    codes: Codes
+    weights: np.ndarray  # from 1 by the number of the code; 0 for others
     offset: float
     slope: float
     shift: float
+    mark: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        return self.codes.spread(self.weights)
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.offset, dtype=np.float64)
+        table = self.table
         for at, codes, weights in self.alphabet.subsequences(words):
-            out[at] += self.table[codes] @ weights
+            own = table[codes] if table is not None else self.weights[self.codes.numbers(codes)]
+            out[at] += own @ weights
         return out
 
     def score(self, margin: np.ndarray) -> np.ndarray:
@@ -127,24 +182,24 @@ class Model:
 
 def kernel(alphabet: Alphabet, words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel of every word with every landmark, both scaled to length 1."""
-    row = np.zeros(alphabet.size**3, dtype=np.int32)
-    for _, c, _ in alphabet.subsequences(landmarks):
-        row[c.ravel()] = 1
-    known = np.flatnonzero(row)
-    row[known] = np.arange(1, len(known) + 1)
-    table = np.zeros((len(known) + 1, len(landmarks)), dtype=np.float32)
+    codes = Codes(alphabet, landmarks)
+    row = codes.spread(np.arange(len(codes.codes) + 1, dtype=np.int32))
+    number = codes.numbers if row is None else row.__getitem__
+    table = np.zeros((len(codes.codes) + 1, len(landmarks)), dtype=np.float32)
     for at, c, w in alphabet.subsequences(landmarks):
-        np.add.at(table, (row[c], at[:, None]), np.broadcast_to(w, c.shape))
+        np.add.at(table, (number(c), at[:, None]), np.broadcast_to(w, c.shape))
     out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     for at, c, w in alphabet.subsequences(words):
-        p = row[c]
+        p = number(c)
         i, j = np.nonzero(p)
         if len(i):
             firsts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-            for k in range(0, len(firsts), 2_000):
-                lo, hi = firsts[k], firsts[k + 2_000] if k + 2_000 < len(firsts) else len(i)
+            # Some words at a time, so that their rows of the table stay within a few megabytes.
+            step = max(1, 8_192 // c.shape[1])
+            for k in range(0, len(firsts), step):
+                lo, hi = firsts[k], firsts[k + step] if k + step < len(firsts) else len(i)
                 part = table[p[i[lo:hi], j[lo:hi]]] * w[j[lo:hi], None]
-                out[at[i[firsts[k : k + 2_000]]]] = np.add.reduceat(part, firsts[k : k + 2_000] - lo)
+                out[at[i[firsts[k : k + step]]]] += np.add.reduceat(part, firsts[k : k + step] - lo)
     return out
 
 
@@ -157,19 +212,28 @@ def stretched(word: str) -> list[str]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Linear SVM with squared hinge loss by Newton steps; the last weight is the offset."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+    """Linear SVM with squared hinge loss by Newton steps; the last weight is the offset.
+
+    ``x`` stays in single precision; margins and normal equations are summed over blocks of it in double.
+    """
+    size = x.shape[1] + 1
+    w = np.zeros(size)
+    ridge = np.eye(size)
     ridge[-1, -1] = 1e-6
     active = np.zeros(len(x), dtype=bool)
     for _ in range(rounds):
-        now = y * (x @ w) < 1
+        left, right, now = ridge.copy(), np.zeros(size), np.zeros(len(x), dtype=bool)
+        for k in range(0, len(x), ROWS):
+            b = np.hstack([x[k : k + ROWS].astype(np.float64), np.ones((len(x[k : k + ROWS]), 1))])
+            inside = y[k : k + ROWS] * (b @ w) < 1
+            now[k : k + ROWS] = inside
+            b, c, z = b[inside], cost[k : k + ROWS][inside], y[k : k + ROWS][inside]
+            left += b.T @ (c[:, None] * b)
+            right += b.T @ (c * z)
         if (now == active).all():
             break
         active = now
-        c = cost[active][:, None]
-        w = np.linalg.solve(ridge + x[active].T @ (c * x[active]), x[active].T @ (c[:, 0] * y[active]))
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -232,7 +296,8 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TE
     labelled = settle(apart(labelled))
     n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return Model(Alphabet([]), np.zeros(27, np.float32), 1.0 if 1 in n else -1.0, 60.0, 0.0)
+        none = Alphabet([])
+        return Model(none, Codes(none, []), np.zeros(1, np.float32), 1.0 if 1 in n else -1.0, 60.0, 0.0)
     counts = _tokens(labelled, True).groupBy("string").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     )
@@ -256,15 +321,18 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TE
     keep = values > 1e-3 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
 
+    codes = Codes(alphabet, marks)
+
     def features(some: list[str]) -> np.ndarray:
-        return kernel(alphabet, some, marks).astype(np.float64) @ whiten
+        parts = [kernel(alphabet, some[k : k + ROWS], marks) @ whiten for k in range(0, len(some), ROWS)]
+        return np.concatenate([np.zeros((0, whiten.shape[1]), np.float32), *(x.astype(np.float32) for x in parts)])
 
     def model_of(w: np.ndarray) -> Model:
-        table = np.zeros(alphabet.size**3)
+        table = np.zeros(len(codes.codes) + 1)
         beta = whiten @ w[:-1]
         for at, c, weights in alphabet.subsequences(marks):
-            np.add.at(table, c, beta[at][:, None] * weights[None, :])
-        return Model(alphabet, table.astype(np.float32), float(w[-1]), 1.0, 0.0)
+            np.add.at(table, codes.numbers(c), beta[at][:, None] * weights[None, :])
+        return Model(alphabet, codes, table.astype(np.float32), float(w[-1]), 1.0, 0.0)
 
     def worst(margin: np.ndarray) -> np.ndarray:
         return np.array([b[margin[b].argmax()] if len(b) else -1 for b in bags])
@@ -276,41 +344,38 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TE
         if m in number:
             rank[number[m]] = 1 + len(marks) - i
     chosen = worst(rank)
+    # Every string of every clean text of the sample is one of the other side, and stays so in all rounds.
     clean = sorted({i for b, label in zip(bags, y) if label < 0 for i in b})
-    negatives = {int(i) for i in chosen[y < 0] if i >= 0} | set(clean[:: max(1, len(clean) // CLEAN_STRINGS)])
-    model = model_of(np.zeros(whiten.shape[1] + 1))
+    against = features([words[i] for i in clean])
     margin = np.zeros(len(words))
     for _ in range(ROUNDS):
         at = [int(i) for i in chosen[y > 0] if i >= 0]
-        often = [words[i] for i, k in Counter(at).most_common(64) if k > 1 and len(words[i]) > 3]
+        often = [words[i] for i, k in Counter(at).most_common(HIDDEN) if k > 1 and len(words[i]) > 3]
         extra = [v for o in often for v in stretched(o)]
-        against = sorted(negatives)
         bad = [words[i] for i in at] + extra
-        side = np.repeat([1.0, -1.0], [len(bad), len(against)])
+        side = np.repeat([1.0, -1.0], [len(bad), len(clean)])
         light = COST * len(at) / max(1, len(extra)) / 4
-        weight = np.repeat([COST, light, COST], [len(at), len(extra), len(against)])
-        model = model_of(_svm(features(bad + [words[i] for i in against]), side, weight))
+        weight = np.repeat([COST, light, COST], [len(at), len(extra), len(clean)])
+        model = model_of(_svm(np.concatenate([features(bad), against]), side, weight))
         margin = model.margins(words)
         new = worst(margin)
-        hard = {int(i) for i in new[y < 0] if i >= 0 and margin[i] > -1} - negatives
-        if (new == chosen).all() and not hard:
+        if (new[y > 0] == chosen[y > 0]).all():
             break
-        chosen, negatives = new, negatives | hard
+        chosen = new
     top = np.array([margin[i] if i >= 0 else model.offset for i in worst(margin)])
     model.slope, model.shift = _platt(top, y)
     return model
 
 
 _seen: dict[str, float] = {}
-_seen_by: list[bytes] = [b""]
+_seen_by: list[str] = [""]
 
 
 def _margins(model: Model, bags: list[set[str]]) -> np.ndarray:
     """Worst margin of each bag. Strings once scored are kept for later tasks of the worker."""
-    mark = model.table.tobytes()
-    if _seen_by[0] != mark or len(_seen) > CACHED:
+    if _seen_by[0] != model.mark or len(_seen) > CACHED:
         _seen.clear()
-        _seen_by[0] = mark
+        _seen_by[0] = model.mark
     new = sorted({s for b in bags for s in b if s not in _seen})
     _seen.update(zip(new, model.margins(new).tolist()))
     return np.array([max((_seen[s] for s in b), default=model.offset) for b in bags])
@@ -346,10 +411,14 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
     """Texts with a label that may be learnt from: about ``most`` of them, chosen by hash, or all.
 
-    The bound makes the labels small enough to be sent to the documents, which stay where they are.
+    An id counts once: of several labels the toxic one holds, of several texts the one of smallest hash. Null ids
+    and labels but 0 and 1 are left out. The chosen labels are settled, so Spark sends them to the documents if they are measured
+    small.
     """
-    known = labels.select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    known = known.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
-    some = known.filter(F.pmod(row_hash(19, "doc_id"), F.lit(max(1, n))) < most)
-    texts = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(some), "doc_id")
-    return texts.select("text", "toxic")
+    some = settle(known.filter(F.pmod(row_hash(19, "doc_id"), F.lit(max(1, n))) < most))
+    texts = docs.select("doc_id", text_of("text").alias("text")).join(some, "doc_id")
+    one = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select("text", "toxic")

@@ -97,4 +97,50 @@ def test_learns_only_from_the_rest(spark, documents):
 
 
 def test_fit_takes_a_thousand_texts_of_each_label():
-    assert toxicity.FIT_TEXTS >= 1_000 and toxicity.CLEAN_STRINGS >= 8_000
+    assert toxicity.FIT_TEXTS >= 1_000 and not hasattr(toxicity, "CLEAN_STRINGS")
+
+
+def test_large_alphabet_needs_no_cube():
+    """2,000 characters: 8 * 10^9 cells as an array; codes beyond 32 bits."""
+    rng = random.Random(4)
+    marks = ["".join(chr(0x4E00 + 2_000 * i // 40 + rng.randrange(50)) for _ in range(60)) for i in range(40)]
+    alphabet = toxicity.Alphabet(marks + [chr(0x4E00 + i) for i in range(2_000)])
+    assert alphabet.size > 2_000
+    codes = toxicity.Codes(alphabet, marks)
+    assert codes.codes.min() > 2**31 - 1 or codes.codes.max() > 2**31 - 1
+    assert codes.spread(np.zeros(len(codes.codes) + 1)) is None
+    got = toxicity.kernel(alphabet, marks + ["none of it"], marks)
+    assert (np.diag(got[:40]) > 1 - 1e-5).all() and got[40].max() < 0.05
+    small = toxicity.kernel(toxicity.Alphabet(marks[:1]), marks[:1] + [marks[0][::2]], marks[:1])
+    large = toxicity.kernel(alphabet, marks[:1] + [marks[0][::2]], marks[:1])
+    assert np.allclose(small, large, atol=1e-6)
+
+
+def test_parts_of_a_long_string_add_up(model, monkeypatch):
+    words = ["blockhead" * 30, "x" * 500, "dimwit"]
+    whole = model.margins(words)
+    mark = toxicity.kernel(model.alphabet, words, ["blockhead"])
+    monkeypatch.setattr(toxicity, "STARTS", 37)
+    assert np.allclose(model.margins(words), whole, atol=1e-6)
+    assert np.allclose(toxicity.kernel(model.alphabet, words, ["blockhead"]), mark, atol=1e-6)
+
+
+def test_token_of_five_megabytes(spark, model):
+    import tracemalloc
+
+    text = "ab" * 2_500_000
+    tracemalloc.start()
+    assert model.margins([text]).shape == (1,)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    rows = spark.createDataFrame([(1, text + " dimwit"), (2, text)], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(rows, model).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_one_id_counts_once(spark, documents):
+    labels = spark.range(200_000).selectExpr("1L as doc_id", "0 as quality", "cast(id % 2 as int) as toxic")
+    docs = documents([(1, f"text {i % 7}") for i in range(300)] + [(2, "other")])
+    more = spark.createDataFrame([(2, 0, 0), (None, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs, labels.unionByName(more)).collect()
+    want = {(1, 1), (2, 0)} - {(i, t) for i, t in ((1, 1), (2, 0)) if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
+    assert len(got) == len(want) and sorted(r.toxic for r in got) == sorted(t for _, t in want)
