@@ -13,7 +13,6 @@ from mound.operators.ordered import (
     BUCKET_ROWS,
     Levels,
     last_before,
-    neighbour,
     number_rows,
     running,
     sliding,
@@ -247,23 +246,56 @@ def pitch_of_pa(
 ) -> DataFrame:
     """Add the appearance number within the game and the pitch number within it.
 
-    A new appearance starts where inning, half or batter differs from the row before.
+    A new appearance starts where inning, half or batter differs from the row before. A segmented scan: inside a
+    block of a game one window numbers rows, appearances and the row an appearance began at, as if nothing came
+    before. Blocks are summed up to (first and last turn, rows, changes, row of the last change),
+    settled, and carried along the game once; what was carried is added to the rows of
+    each block. So the log is read twice, whatever the columns. Null for rows without a game.
     """
     log, levels = _in_blocks(log, order, block_rows)
-    seen = neighbour(log, [game], levels, list(turn), "__prev")
-    same = F.lit(True)
-    for column in turn:
-        same = same & F.col(column).eqNullSafe(F.col(f"__prev.{column}"))
-    starts = F.when(F.col("__prev").isNotNull() & same, 0).otherwise(1)
-    flagged = seen.withColumn("__start", starts).drop("__prev")
-    numbered = running(
-        flagged, [game], levels, {"pa_no": F.col("__start"), "__row": F.lit(1)}
-    ).withColumn("pa_no", F.col("pa_no") + F.col("__start"))
-    numbered = numbered.withColumn("__first", F.when(F.col("__start") == 1, F.struct("__row")))
-    begun = last_before(numbered, [game], levels, "__first", "__begun")
-    first_row = F.when(F.col("__start") == 1, F.col("__row")).otherwise(F.col("__begun.__row"))
-    return begun.withColumn("pitch_of_pa", F.col("__row") - first_row + 1).drop(
-        "__start", "__row", "__first", "__begun", "__part"
+    block = [game, "__part"]
+    inside = Window.partitionBy(*block, "__spread").orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"__spread": spread([game], order), "__turn": F.struct(*turn)})
+        rows = rows.withColumns({"__row": F.row_number().over(inside), "__prev": F.lag("__turn").over(inside)})
+        changed = F.col("__prev").isNotNull() & ~F.col("__prev").eqNullSafe(F.col("__turn"))
+        rows = rows.withColumn("__change", changed.cast("int"))
+        return rows.withColumns(
+            {
+                "__changes": F.sum("__change").over(so_far),
+                "__begun": F.max(F.when(F.col("__change") == 1, F.col("__row"))).over(so_far),
+            }
+        )
+
+    narrow = log.select(game, "__part", *order, *[c for c in turn if c not in (game, *order)])
+    blocks = scanned(narrow.filter(F.col(game).isNotNull())).groupBy(*block).agg(
+        F.min_by("__turn", "__row").alias("first"),
+        F.max_by("__turn", "__row").alias("last"),
+        F.count("*").alias("rows"),
+        F.sum("__change").alias("changes"),
+        F.max("__begun").alias("begun"),
+    )
+    along = Window.partitionBy(game).orderBy("__part")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    new = ~F.coalesce(F.lag("last").over(along).eqNullSafe(F.col("first")), F.lit(False)) | (F.row_number().over(along) == 1)
+    blocks = blocks.withColumns({"__new": new.cast("int"), "__rows": F.coalesce(F.sum("rows").over(earlier), F.lit(0))})
+    # The last row of the game so far at which an appearance began: by a change inside a block, or at its first row.
+    start = F.col("__rows") + F.coalesce("begun", F.when(F.col("__new") == 1, F.lit(1)))
+    carried = blocks.withColumns(
+        {
+            "__turns": F.coalesce(F.sum(F.col("__new") + F.col("changes")).over(earlier), F.lit(0)) + F.col("__new"),
+            "__since": F.when(F.col("__new") == 1, F.col("__rows") + 1).otherwise(F.max(start).over(earlier)),
+        }
+    )
+    carried = settle(carried.select(*block, F.lit(0).alias("__spread"), "__rows", "__turns", "__since"))
+    out = scanned(log).join(carried, [*block, "__spread"], "left")
+    began = F.coalesce(F.col("__rows") + F.col("__begun"), F.col("__since"))
+    return out.select(
+        *[c for c in log.columns if c != "__part"],
+        (F.col("__turns") + F.col("__changes")).alias("pa_no"),
+        (F.col("__rows") + F.col("__row") - began + 1).alias("pitch_of_pa"),
     )
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Model
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mound.functions.scalars import clip_probability, safe_rate
+from mound.operators import isotonic
 from mound.operators.aggregates import base_rate
-from mound.operators.attach import settle
+from mound.operators.attach import attach, settle
 from mound.operators.ordered import GROUP_ROWS, running, split_if_large
 from mound.sources.schema import LABEL
 
@@ -95,26 +94,50 @@ def reliability(
     )
 
 
+def _step(score: str, steps: int) -> Column:
+    return F.least(F.greatest(F.floor(F.col(score).cast("double") * steps), F.lit(0)), F.lit(steps)).cast("long")
+
+
 def fit_recalibration(
     scored_valid: DataFrame, score: str = SCORE, label: str = LABEL, steps: int = CALIBRATION_STEPS
-) -> Model:
-    """Monotone correction learned on held-out train rows.
+) -> DataFrame:
+    """Monotone correction learned on held-out train rows: a settled table of a row per step.
 
-    Every row counts, at the mean score of its step: there are ``steps`` of them between 0
-    and 1, so the fit's last merge, on the driver, holds as many weighted points at most.
+    Every row with a score and a label of 0 or 1 counts, at the mean score of its step: there are
+    ``steps`` of them between 0 and 1. Fitted values are isotonic means over the steps. A row says what holds
+    around its step: the nearest seen steps below and above, and its own where it was seen.
     """
-    known = scored_valid.filter(F.col(score).isNotNull() & ~F.isnan(score))
-    points = known.groupBy(F.floor(F.col(score).cast("double") * steps).alias("step")).agg(
-        F.avg(F.col(score).cast("double")).alias("p"),
-        F.avg(F.col(label).cast("double")).alias("y"),
-        F.count("*").cast("double").alias("w"),
+    y = F.col(label).cast("long")
+    known = scored_valid.filter(F.col(score).isNotNull() & ~F.isnan(score) & y.isin(0, 1))
+    points = known.groupBy(_step(score, steps).alias("at")).agg(
+        F.count("*").alias("n"), F.sum(y).alias("k"), F.avg(F.col(score).cast("double")).alias("p")
+    )
+    fitted = isotonic.fit(points, steps).select("at", F.struct("p", F.col("fitted").alias("y")).alias("own"))
+    every = scored_valid.sparkSession.range(steps + 1).select(F.col("id").alias("step"))
+    table = every.join(fitted, F.col("step") == F.col("at"), "left").drop("at")
+    order = Window.orderBy("step")
+    below = order.rowsBetween(Window.unboundedPreceding, -1)
+    above = order.rowsBetween(1, Window.unboundedFollowing)
+    return settle(
+        table.withColumns(
+            {"below": F.last("own", ignorenulls=True).over(below), "above": F.first("own", ignorenulls=True).over(above)}
+        )
     )
-    return IsotonicRegression(
-        featuresCol="p", labelCol="y", weightCol="w", predictionCol="calibrated"
-    ).fit(points)
 
 
-def apply_recalibration(model: Model, rows: DataFrame, score: str = SCORE) -> DataFrame:
-    """Replace the score by its corrected value, row by row."""
-    out = model.transform(rows.withColumn("p", F.col(score).cast("double")))
-    return out.withColumn(score, clip_probability("calibrated")).drop("p", "calibrated")
+def apply_recalibration(fitted: DataFrame, rows: DataFrame, score: str = SCORE) -> DataFrame:
+    """Replace the score by its corrected value, row by row.
+
+    Between seen steps the value goes in a straight line, beyond the last ones it stays. A null or NaN score gives null;
+    a correction fitted to no row leaves scores as they are.
+    """
+    x = F.col(score).cast("double")
+    steps = fitted.agg(F.max("step")).first()[0]
+    known = F.when(~F.isnan(x), _step(score, steps)).alias("step")
+    out = attach(rows.withColumn("step", known), fitted, ["step"], settled=True)
+    low = F.when(F.col("own.p") <= x, F.col("own")).otherwise(F.col("below"))
+    high = F.when(F.col("own.p") >= x, F.col("own")).otherwise(F.col("above"))
+    way = F.try_divide(x - low["p"], high["p"] - low["p"])
+    value = F.when(low["p"] < high["p"], low["y"] + (high["y"] - low["y"]) * way)
+    value = F.coalesce(value, low["y"], high["y"], F.when(F.col("step").isNotNull(), x))
+    return out.withColumn(score, F.when(F.col("step").isNotNull(), clip_probability(value))).drop("step", "own", "below", "above")

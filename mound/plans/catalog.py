@@ -714,7 +714,7 @@ def _optimum(spark: SparkSession, sf: str) -> DataFrame:
 def _recalibrate(spark: SparkSession, sf: str) -> DataFrame:
     valid, test = scoring.season_split(_scored(spark, sf), TEST_SEASON)
     fitted = scoring.fit_recalibration(valid)
-    return scoring.apply_recalibration(fitted, test).select("row_id", "score")
+    return _rounded9(scoring.apply_recalibration(fitted, test), "score").select("row_id", "score")
 
 
 @query("q12_row_independence")

@@ -737,6 +737,21 @@ def build() -> dict[str, str]:
         " round(avg(score), 9) as predicted, round(avg(y), 9) as observed from s group by 1",
         SCORED,
     )
+    # The textbook form: the largest mean from earlier steps of the smallest to later ones.
+    out["m9_recalibrate"] = _with(
+        SCORED_COLUMNS,
+        "select row_id, round(case when l.p < h.p then l.f + (h.f - l.f) * (score - l.p) / (h.p - l.p)"
+        " else coalesce(l.f, h.f) end, 9) as score"
+        " from (select row_id, score from s where season = 2001) t"
+        " asof left join fit l on t.score >= l.p asof left join fit h on t.score <= h.p",
+        SCORED,
+        "v as (select least(floor(score * 10000), 10000) as step, avg(score) as p, count(*)::bigint as n, sum(y)::bigint as k"
+        " from s where season < 2001 group by 1)",
+        "c as (select *, sum(n) over o as w, sum(k) over o as t from v window o as (order by step))",
+        "m as (select a.step as a, b.step as b, min((b.t - a.t + a.k)::double / (b.w - a.w + a.n))"
+        " over (partition by a.step order by b.step desc) as low from c a join c b on a.step <= b.step)",
+        "fit as (select c.step, c.p, max(low) as f from c join m on m.b = c.step group by all)",
+    )
     out["flow2_history_features"] = _with(
         ["row_id", "season", "pitcher_id", "rel_speed"],
         "select row_id, h.n as hist_n, round(h.speed + 1e-9, 6) as hist_speed from p left join h using (pitcher_id, season)",

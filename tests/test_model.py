@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -145,6 +146,39 @@ def test_isotonic_matches_pooling(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize(("block", "fan"), [(256, 64), (1, 2), (3, 2), (7, 3)])
+def test_minorant_in_blocks(spark, block, fan):
+    """Hulls of blocks, merged in any shape, against the min-max form in fractions."""
+    rng = random.Random(block)
+    cases = [[(rng.randint(1, 5), None) for _ in range(30)] for _ in range(3)]
+    cases = [[(n, rng.randint(0, n)) for n, _ in c] for c in cases]
+    cases += [[(1, 0), (1, 1)] * 8, [(2, 2)] * 5 + [(3, 0)] * 5, [(9, k) for k in range(10)], [(4, 1)], []]
+    for case in cases:
+        at = sorted(rng.sample(range(60), len(case)))
+        rows = [(a, n, k) for a, (n, k) in zip(at, case)]
+        want = {
+            a: max(
+                min(Fraction(sum(k for _, k in case[i:j]), sum(n for n, _ in case[i:j])) for j in range(m + 1, len(case) + 1))
+                for i in range(m + 1)
+            )
+            for m, a in enumerate(at)
+        }
+        frame = spark.createDataFrame(rows, "at long, n long, k long")
+        got = {r["at"]: r.fitted for r in isotonic.fit(frame, 60, block, fan).collect()}
+        assert got == {a: pytest.approx(float(v), abs=1e-12) for a, v in want.items()}
+
+
+def test_recalibration_of_odd_scores(spark):
+    valid = [(0.2, 0), (0.2, 1), (0.6, 1), (None, 1), (float("nan"), 0), (0.9, None)]
+    fitted = scoring.fit_recalibration(spark.createDataFrame(valid, f"score double, {LABEL} int"))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([0.0, 0.2, 0.4, 0.6, 1.0, None, float("nan"), 7.0])], "i int, score double")
+    got = {r.i: r.score for r in scoring.apply_recalibration(fitted, rows).collect()}
+    assert [got[i] for i in range(5)] == pytest.approx([0.5, 0.5, 0.75, 1.0, 1.0])
+    assert got[5] is None and got[6] is None and got[7] == 1.0
+    nothing = scoring.fit_recalibration(spark.createDataFrame([], f"score double, {LABEL} int"))
+    assert [r.score for r in scoring.apply_recalibration(nothing, rows.filter("i < 3")).orderBy("i").collect()] == [0.0, 0.2, 0.4]
+
+
 def test_training_flow(spark):
     table = flows.training_table(pitch_view(spark, SF))
     train, test = scoring.season_split(table, 2001)
