@@ -13,10 +13,12 @@ from mound.operators.ordered import (
     BUCKET_ROWS,
     Levels,
     last_before,
+    neighbour,
     number_rows,
     running,
     sliding,
     spread,
+    unspread,
 )
 from mound.sources.schema import PITCH_GROUPS
 
@@ -208,7 +210,7 @@ def asof_features(
     out = log.withColumn("__spread", spread([key], ["row_id"])).withColumns(
         {c: F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in sums.items()}
     )
-    games = games.withColumn("__spread", F.lit(0))
+    games = games.withColumn("__spread", unspread([key]))
     out = out.join(games, [key, *GAME, "__spread"], "left").withColumns(
         {
             c: F.when(F.col(key).isNotNull(), F.col(c) + F.coalesce(f"__before_{c}", F.lit(0)))
@@ -279,7 +281,7 @@ def pitch_of_pa(
     )
     along = Window.partitionBy(game).orderBy("__part")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    new = ~F.coalesce(F.lag("last").over(along).eqNullSafe(F.col("first")), F.lit(False)) | (F.row_number().over(along) == 1)
+    new = ~F.lag("last").over(along).eqNullSafe(F.col("first"))
     blocks = blocks.withColumns({"__new": new.cast("int"), "__rows": F.coalesce(F.sum("rows").over(earlier), F.lit(0))})
     # The last row of the game so far at which an appearance began: by a change inside a block, or at its first row.
     start = F.col("__rows") + F.coalesce("begun", F.when(F.col("__new") == 1, F.lit(1)))
@@ -289,7 +291,7 @@ def pitch_of_pa(
             "__since": F.when(F.col("__new") == 1, F.col("__rows") + 1).otherwise(F.max(start).over(earlier)),
         }
     )
-    carried = settle(carried.select(*block, F.lit(0).alias("__spread"), "__rows", "__turns", "__since"))
+    carried = settle(carried.select(*block, unspread([game]).alias("__spread"), "__rows", "__turns", "__since"))
     out = scanned(log).join(carried, [*block, "__spread"], "left")
     began = F.coalesce(F.col("__rows") + F.col("__begun"), F.col("__since"))
     return out.select(
@@ -299,6 +301,34 @@ def pitch_of_pa(
     )
 
 
+def count_outcome(
+    log: DataFrame,
+    game: str = "game_id",
+    order: Sequence[str] = ORDER[2:],
+    turn: Sequence[str] = ("inning", "top_bottom", "batter_id"),
+    block_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Add ``count_outcome``: what the pitch did to the count, read from the next pitch of the appearance.
+
+    ``ball`` or ``strike`` where that count alone is one higher, ``same`` where neither is (a foul with two strikes),
+    null on the last pitch of an appearance, where counts are missing, and where they jump. It settles
+    after the pitch: a label of history rows, banned as a feature.
+    """
+    log, levels = _in_blocks(log, order, block_rows)
+    counts = ("balls_before", "strikes_before")
+    seen = neighbour(log, [game], levels, [*dict.fromkeys((*turn, *counts))], "__next", step=1)
+    goes_on = F.col("__next").isNotNull()
+    for column in turn:
+        goes_on = goes_on & F.col(column).eqNullSafe(F.col(f"__next.{column}"))
+    balls, strikes = (F.col(f"__next.{c}") - F.col(c) for c in counts)
+    outcome = (
+        F.when((balls == 1) & (strikes == 0), "ball")
+        .when((balls == 0) & (strikes == 1), "strike")
+        .when((balls == 0) & (strikes == 0), "same")
+    )
+    return seen.withColumn("count_outcome", F.when(goes_on, outcome)).drop("__next", "__part")
+
+
 def rolling(
     log: DataFrame,
     key: str,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -220,6 +223,28 @@ def check_cutoff(history: DataFrame, season_before: int) -> DataFrame:
     return _count_each(history, {("cutoff", "season"): F.col("season") >= season_before})
 
 
+# Plan nodes that make a row depend on others.
+MIXING = ("Window", "WindowGroupLimit", "Aggregate", "Distinct", "Deduplicate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Tail", "Sample", "Expand", "Union")
+
+
+def check_scoring_plan(scored: DataFrame) -> DataFrame:
+    """Nodes in the plan of a scored frame that let a row depend on other rows; reads no data.
+
+    Rows may be joined to settled tables of history, whose plan is a scan. A window, aggregate, sort, limit, sample or
+    union anywhere in the plan is reported by its name.
+    """
+    spark, name = scored.sparkSession, f"scored_{uuid.uuid4().hex}"
+    scored.createOrReplaceTempView(name)
+    try:
+        text = spark.sql(f"explain extended select * from {name}").first()[0]
+    finally:
+        spark.catalog.dropTempView(name)
+    optimized = text.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    nodes = Counter(re.findall(r"^[\s:+|-]*([A-Z]\w+)", optimized, re.MULTILINE))
+    rows = [("scoring_plan", n, nodes[n]) for n in MIXING if nodes[n]] or [("scoring_plan", "", 0)]
+    return _report(spark, rows)
+
+
 def check_row_independence(
     score_fn: Callable[[DataFrame], DataFrame], test: DataFrame, part: Column
 ) -> DataFrame:

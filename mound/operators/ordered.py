@@ -50,6 +50,15 @@ def spread(key: Sequence[str], order: Sequence[str]) -> Column:
     return F.when(known(key), 0).otherwise(F.pmod(F.xxhash64(*order), F.lit(SPREAD)).cast("int"))
 
 
+def unspread(columns: Sequence[str]) -> Column:
+    """0 for every row, but made of columns, not a literal.
+
+    A literal would be folded into the join's condition and leave its keys, and rows that stand
+    dealt out by key, block and ``__spread`` would be shuffled and sorted once more.
+    """
+    return F.pmod(F.xxhash64(*columns), F.lit(1)).cast("int")
+
+
 def running(
     df: DataFrame,
     key: Sequence[str],
@@ -79,7 +88,7 @@ def running(
         )
     carried = running(
         totals.filter(known(key)), key, levels[:-1], {f"__before_{name}": F.col(f"__{name}") for name in sums}
-    ).select(*key, *block, F.lit(0).alias("__spread"), *[f"__before_{name}" for name in sums])
+    ).select(*key, *block, unspread([*key, *block]).alias("__spread"), *[f"__before_{name}" for name in sums])
     return out.join(carried, [*key, *block, "__spread"], "left").select(
         *[c for c in out.columns if c not in sums and c != "__spread"],
         *[
@@ -111,7 +120,7 @@ def neighbour(
     )
     across = Window.partitionBy(*key).orderBy(*block)
     beyond = edges.select(
-        *key, *block, F.lit(0).alias("__spread"), shift("__edge").over(across).alias("__beyond")
+        *key, *block, unspread([*key, *block]).alias("__spread"), shift("__edge").over(across).alias("__beyond")
     )
     return out.join(beyond, [*key, *block, "__spread"], "left").select(
         *[c for c in out.columns if c not in (name, "__spread")],
@@ -134,7 +143,7 @@ def last_before(
     )
     across = Window.partitionBy(*key).orderBy(*block).rowsBetween(*_BEFORE)
     carried = lasts.select(
-        *key, *block, F.lit(0).alias("__spread"),
+        *key, *block, unspread([*key, *block]).alias("__spread"),
         F.last("__last", ignorenulls=True).over(across).alias("__carried"),
     )
     return out.join(carried, [*key, *block, "__spread"], "left").select(

@@ -133,7 +133,7 @@ def apply_recalibration(fitted: DataFrame, rows: DataFrame, score: str = SCORE)
     """
     x = F.col(score).cast("double")
     steps = fitted.agg(F.max("step")).first()[0]
-    known = F.when(~F.isnan(x), _step(score, steps)).alias("step")
+    known = F.when(x.isNotNull() & ~F.isnan(x), _step(score, steps)).alias("step")
     out = attach(rows.withColumn("step", known), fitted, ["step"], settled=True)
     low = F.when(F.col("own.p") <= x, F.col("own")).otherwise(F.col("below"))
     high = F.when(F.col("own.p") >= x, F.col("own")).otherwise(F.col("above"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mound.functions import scalars, state
-from mound.operators import aggregates, asof, checks, filters, joins, ordered, scoring
+from mound.operators import aggregates, asof, checks, filters, joins, ordered, scoring, sketches
 from mound.operators.attach import pitch_group, settle, shared_folder
 from mound.plans import flows, model, streams
 from mound.plans.pitch_view import pitch_view
@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ORDER = list(asof.ORDER)
 TEST_SEASON = 2001
 NUDGE = 1e-9
+# Share of the rows by which a sketch's quantile may miss its rank.
+RANK_ERROR = 0.02
 STATE = [
     "inning", "top_bottom", "balls_before", "strikes_before", "outs_before", "run_top_before",
     "run_bot_before", "runner_on_1b", "runner_on_2b", "runner_on_3b",
@@ -131,6 +133,13 @@ def _pitch_of_pa(spark: SparkSession, sf: str) -> DataFrame:
     return asof.pitch_of_pa(log).select("row_id", "pa_no", "pitch_of_pa")
 
 
+@query("x6_count_outcome")
+def _count_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """An appearance is a half here: synthetic batters seldom see two pitches in a row."""
+    log = pitch_view(spark, sf, ["row_id", "game_id", "pitch_no", "top_bottom", "balls_before", "strikes_before"])
+    return asof.count_outcome(log, turn=["top_bottom"]).select("row_id", "count_outcome")
+
+
 @query("w_null_keys")
 def _null_keys(spark: SparkSession, sf: str) -> DataFrame:
     """As-of columns where every seventh part of the pitchers is unknown."""
@@ -465,6 +474,18 @@ def _type_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out, "mean", "stddev", "q10", "q50", "q90")
 
 
+@query("a5_quantile_sketches")
+def _sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly sketches merged over earlier seasons: counts, and whether ranks are within the bound."""
+    log = pitch_view(spark, sf, ["season", "game_month", "pitcher_id", *SPEEDS])
+    kept = sketches.monthly_sketches(log, ["pitcher_id"], SPEEDS)
+    found = sketches.quantiles_before(kept, ["pitcher_id"], TEST_SEASON)
+    past = filters.before(log, TEST_SEASON)
+    errors = sketches.rank_errors(past, settle(found), ["pitcher_id"], SPEEDS)
+    within = [(F.col(f"{q}_error") <= RANK_ERROR).alias(f"{q}_within") for q in ("q10", "q50", "q90")]
+    return errors.select("pitcher_id", "column", "n", *within)
+
+
 @query("a7_arsenal")
 def _arsenal(spark: SparkSession, sf: str) -> DataFrame:
     log = pitch_view(spark, sf, ["pitcher_id", "pitch_type_group", *SPEEDS])

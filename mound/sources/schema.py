@@ -99,6 +99,7 @@ BANNED = (
     "is_middle",
     "is_ball",
     "is_strike",
+    "count_outcome",
     "tagged_pitch_type",
     "auto_pitch_type",
     "pitch_type_group",

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mound.operators import checks, scoring
+from mound.operators import checks, isotonic, scoring
 from mound.plans import flows, model
 from mound.plans.pitch_view import pitch_view
 from mound.sources.schema import LABEL

@@ -98,7 +98,7 @@ def test_row_independence_finds_what_depends_on_the_file(spark):
     assert {r["check"]: r.violations for r in sized.collect()} == {"row_independence": 20, "rows_compared": 10}
 
 
-@pytest.mark.parametrize("name,most", [("w24_game_seq", 1), ("w9_asof_pitcher_prev5_game_success_rate", 2), ("w1_w19_asof_features", 2), ("q8_asof", 2)])
+@pytest.mark.parametrize("name,most", [("w24_game_seq", 1), ("w9_asof_pitcher_prev5_game_success_rate", 2), ("w1_w19_asof_features", 2), ("q8_asof", 2), ("w21_pitch_of_pa", 2), ("q5_tracking_domains", 2)])
 def test_passes_over_the_log(spark, monkeypatch, name, most):
     from pyspark.sql import DataFrame, DataFrameWriter
 
