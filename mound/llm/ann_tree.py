@@ -183,7 +183,6 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = K, sample: int = SAMPL
     some = some[some.dims.isin(list(trees))].drop_duplicates("vec_id")
     visits = calibrated(trees, brute_force(points, some, k).toPandas(), some, recall) if len(some) else 1
     asked = settle(cells.queries_of(points, every).drop("cell"))
-    n_asked = asked.count()
 
     def walk(queries: DataFrame, first: int | None) -> DataFrame:
         """A row for each query and leaf to ask: the first ones, or all."""
@@ -199,12 +198,12 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = K, sample: int = SAMPL
         return rows.withColumns({"bound": F.lit(None).cast("double"), "only": F.lit(False)})
 
     find = lambda a, b: search(a, b, k)
-    found = settle(cells.best(cells.meet(points, sizes, walk(asked, visits), n_asked, find, "double"), k, F.col("score")))
+    found = settle(cells.best(cells.meet(points, sizes, walk(asked, visits), find, "double"), k, F.col("score")))
     full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = settle(asked.join(full, "vec_id", "left_anti"))
     n_short = short.count()
     if n_short and visits < max((t.leaves for t in trees.values()), default=1):
-        again = cells.best(cells.meet(points, sizes, walk(short, None), n_short, find, "double"), k, F.col("score"))
+        again = cells.best(cells.meet(points, sizes, walk(short, None), find, "double"), k, F.col("score"))
         kept = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
         return kept.unionByName(again)
     return found

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mound.llm.tables import row_hash
+from mound.llm.tables import row_hash, settle
 
 CHUNK = 8_192
 BLOCK = 2_048
+KEY = ("dims", "cell", "chunk", "block")
 VECTOR = "vec_id long, dims int, cell int, vec array<double>"
 FOUND = "query_id long, vec_id long, score {}"
 
@@ -61,31 +62,39 @@ def queries_of(rows: DataFrame, every: int) -> DataFrame:
     return some.groupBy("vec_id").agg(F.min(F.struct("dims", "vec", "cell")).alias("q")).select("vec_id", "q.*")
 
 
-def meet(rows: DataFrame, sizes: DataFrame, asked: DataFrame, n_asked: int, search: Callable, kind: str, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """Answers of ``search(candidates, queries)`` wherever a query meets a chunk of a cell it asks.
+def dealt(rows: DataFrame, sizes: DataFrame, asked: DataFrame, chunk: int = CHUNK, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries by ``dims``, ``cell``, ``chunk`` and ``block``.
 
-    ``sizes`` has the rows of each ``dims``, ``cell``; ``asked`` a row for each query and cell with ``only``,
-    null to ask all chunks of the cell or true to ask a single one. ``n_asked`` is the number of queries.
+    A cell has as many blocks as the queries that ask it fill, so a row is copied to those blocks alone and a row of a
+    cell that nothing asks goes nowhere.
     """
-    blocks = max(1, -(-n_asked // block))
+    asks = asked.groupBy("dims", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = sizes.select("dims", "cell", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    sizes = settle(sizes.join(asks, ["dims", "cell"]))
     hashed = row_hash(31, "vec_id")
     rows = rows.join(sizes, ["dims", "cell"]).withColumn("chunk", F.pmod(hashed, F.col("chunks")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = asked.join(sizes, ["dims", "cell"])
     own = F.pmod(hashed, F.col("chunks")).cast("int")
     all_chunks = F.sequence(F.lit(0), F.col("chunks") - 1)
     asked = asked.withColumn("chunk", F.explode(F.when(F.col("only"), F.array(own)).otherwise(all_chunks)))
-    asked = asked.withColumn("block", F.pmod(row_hash(37, "vec_id"), F.lit(blocks)).cast("int"))
-    key = ["dims", "cell", "chunk", "block"]
-    rows = rows.select(*key, "vec_id", "vec")
-    asked = asked.select(*key, "vec_id", "vec", "bound")
+    asked = asked.withColumn("block", F.pmod(row_hash(37, "vec_id"), F.col("blocks")).cast("int"))
+    return rows.select(*KEY, "vec_id", "vec"), asked.select(*KEY, "vec_id", "vec", "bound")
+
+
+def meet(rows: DataFrame, sizes: DataFrame, asked: DataFrame, search: Callable, kind: str, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """Answers of ``search(candidates, queries)`` wherever a query meets a chunk of a cell it asks.
+
+    ``sizes`` has the rows of each ``dims``, ``cell``; ``asked`` a row for each query and cell with ``only``,
+    null to ask all chunks of the cell or true to ask a single one.
+    """
+    rows, asked = dealt(rows, sizes, asked, chunk, block)
     empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return search(left, right) if len(left) and len(right) else empty
 
-    return rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(both, FOUND.format(kind))
+    return rows.groupBy(*KEY).cogroup(asked.groupBy(*KEY)).applyInPandas(both, FOUND.format(kind))
 
 
 def best(found: DataFrame, k: int, score: Column) -> DataFrame:

@@ -186,9 +186,8 @@ def top_k(rows: DataFrame, every: int = EVERY, k: int = K, regions: int = REGION
     points = settle(cells.placed(given, tree.place, quantised))
     sizes = settle(points.groupBy("dims", "cell").agg(F.count("*").alias("n")))
     asked = settle(cells.queries_of(points, every))
-    n = asked.count()
     none, one = F.lit(None).cast("long").alias("bound"), F.lit(True).alias("only")
-    home = cells.meet(points, sizes, asked.select("*", none, one), n, lambda a, b: search(a, b, k), "long")
+    home = cells.meet(points, sizes, asked.select("*", none, one), lambda a, b: search(a, b, k), "long")
     # A kth score exists only where k were found.
     bounds = cells.best(home, k, F.desc("score")).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     bounded = settle(asked.drop("cell").join(bounds, "vec_id", "left"))
@@ -210,7 +209,7 @@ def top_k(rows: DataFrame, every: int = EVERY, k: int = K, regions: int = REGION
                 yield pd.DataFrame({"vec_id": out.vec_id, "dims": dims, "vec": out.vec, "bound": out.bound, "cell": np.array(names)[cell], "only": False})
 
     fields = "vec_id long, dims int, vec array<double>, bound long, cell int, only boolean"
-    everywhere = cells.meet(points, sizes, bounded.mapInPandas(reachable, fields), n, lambda a, b: search(a, b, k), "long")
+    everywhere = cells.meet(points, sizes, bounded.mapInPandas(reachable, fields), lambda a, b: search(a, b, k), "long")
     return cells.best(everywhere, k, F.desc("score"))
 
 

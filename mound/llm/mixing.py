@@ -2,7 +2,7 @@
 
 Words are summed per source, shares become targets by filling up to a limit of
 ``MOST`` times a source's words, and every document is emitted ``floor(rate)`` times plus
-once more if a hash of its id and text, as a fraction, is below the rest of the rate. The
+once more if a hash of its id (of its text where it has none), as a fraction, is below the rest of the rate. The
 documents themselves are never shuffled: the table of rates (a row a source) is settled and
 joined by the size Spark measures, and adaptive execution splits a hot source if it shuffles.
 """
@@ -24,9 +24,10 @@ def words(text: str = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
-def draw(seed: int, doc_id: str = "doc_id") -> Column:
-    """A fraction from 0 to 1 fixed by the document's id; null ids share one."""
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("none"))).cast("binary")), 1, 13)
+def draw(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A fraction from 0 to 1 fixed by the document's id, or by its text where the id is null."""
+    name = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("none:"), F.md5(text_of(text).cast("binary"))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), name).cast("binary")), 1, 13)
     return F.conv(digits, 16, 10).cast("long").cast("double") / F.lit(float(16**13))
 
 
@@ -71,7 +72,12 @@ def rated(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE, mos
 
 
 def mix(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE, most: int = MOST) -> DataFrame:
-    """The mixture: every document ``copies`` times, with the columns it had."""
+    """The mixture: every document ``copies`` times, with the columns it had, those of clashing names too.
+
+    Documents with a rate of 0 (of sources without words) are gone; an empty table stays empty. Draws are independent, so a
+    source's words miss its target by about the root of the sum of ``size ** 2 * f * (1 - f)`` over its documents, f
+    being the fraction of the rate.
+    """
     rows = rated(docs.select("doc_id", "source", "text", F.struct("*").alias("d")), seed, cycle, most)
     each = rows.select("d", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return each.select("d.*")
@@ -81,7 +87,7 @@ def mix(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE, most:
 ORACLE = f"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size,
-    (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'none')), 1, 13))::bigint)::double / {float(16**13)!r} as u
+    (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'none:' || md5(coalesce(text, '')))), 1, 13))::bigint)::double / {float(16**13)!r} as u
   from documents),
 per as (
   select source, sum(size)::bigint as source_size,

@@ -32,24 +32,53 @@ BASE = {
 SLOT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OPENING = r"^[\"'(\[{<|]*"
 CLOSING = r"[\"')\]}>|.,;:!?]*$"
+# Characters of a context that patterns are made of: longer words count by this end of them.
 CONTEXT = 64
-ROUNDS = 3
+# Rounds end when no pattern's score moves any more, and after this many.
+ROUNDS = 20
+PART = 256
 LEAST_SEEDS = 5
 LEAST_SCORE = 0.75
 PRIOR = 1.0
 
 
+def _sums(lengths: Column) -> Column:
+    """Running sums of an array, each with its own element: sums of blocks first, so n elements take about n * PART steps."""
+    total = lambda some: F.aggregate(some, F.lit(0), lambda s, x: s + x)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / PART).cast("int"))
+
+    def running(a: Column, per: Column) -> Column:
+        before = F.transform(per, lambda _, b: total(F.slice(per, 1, b)))
+
+        def at(place: Column, before: Column) -> Column:
+            b = F.floor(place / PART).cast("int")
+            return F.get(before, b) + total(F.slice(a, b * PART + 1, place - b * PART + 1))
+
+        # Single-item arrays name a list once for all uses.
+        return F.flatten(F.transform(F.array(before), lambda x: F.transform(a, lambda _, i: at(i, x))))
+
+    per = F.transform(blocks, lambda b: total(F.slice(lengths, b * PART + 1, PART)))
+    named = F.array(F.struct(lengths.alias("a"), per.alias("per")))
+    return F.flatten(F.transform(named, lambda x: running(x["a"], x["per"])))
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches: ``start``, ``end``, ``value``, and up to ``CONTEXT`` characters ``before`` and ``after``."""
+    """All matches: ``start``, ``end``, ``value``, and up to ``CONTEXT`` characters ``before`` and ``after``.
+
+    A context runs over neighbouring matches too (two before, one after), so an occurrence has the same words around it
+    whichever expression found it.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    places = F.struct(gaps.alias("g"), found.alias("f"))
+    none = F.lit("")
+    # A match starts after its gap and all gaps and matches before.
+    lengths = lambda p: F.transform(p["f"], lambda _, i: F.length(F.get(p["g"], i)) + F.coalesce(F.length(F.get(p["f"], i - 1)), F.lit(0)))
 
     def each(p: Column) -> Column:
-        total = lambda some: F.aggregate(some, F.lit(0), lambda s, x: s + F.length(x))
-
         def at(value: Column, i: Column) -> Column:
-            start = total(F.slice(p["g"], 1, i + 1)) + total(F.slice(p["f"], 1, i))
-            before, after = F.get(p["g"], i), F.get(p["g"], i + 1)
+            start = F.get(p["start"], i)
+            part = lambda name, k: F.coalesce(F.get(p[name], i + k), none)
+            before = F.concat(part("g", -2), part("f", -2), part("g", -1), part("f", -1), part("g", 0))
+            after = F.concat(part("g", 1), part("f", 1), part("g", 2))
             return F.struct(
                 start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
                 F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
@@ -57,8 +86,9 @@ def _matches(text: Column, pattern: str) -> Column:
 
         return F.transform(p["f"], at)
 
-    # One pass over a single-item array names the two lists once for all uses.
-    return F.flatten(F.transform(F.array(places), each))
+    # Single-item arrays name the lists once for all uses.
+    places = F.transform(F.array(F.struct(gaps.alias("g"), found.alias("f"))), lambda p: F.struct(p["g"].alias("g"), p["f"].alias("f"), _sums(lengths(p)).alias("start")))
+    return F.flatten(F.transform(places, each))
 
 
 def _digits(value: Column) -> Column:
@@ -140,10 +170,13 @@ def confident(found: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_S
     # A pattern with too few seeds can neither discover nor lend weight.
     known = settle(known.filter(F.col("seen") >= least_seeds))
     edges = settle(edges.select("pattern", "instance").join(known.select("pattern"), "pattern", "left_semi"))
-    scores, patterns = seeds, None
+    scores, patterns, state = seeds, None, None
     for _ in range(rounds):
         sums = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("s").alias("s"))
         patterns = settle(sums.join(known, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + PRIOR)).alias("score")))
+        last, state = state, tuple(patterns.agg(F.count("*"), F.sum(F.hash("pattern", "kind", F.round("score", 6)).cast("long"))).first())
+        if state == last:
+            break
         err = F.exp(F.sum(F.log1p(-F.col("score") * 0.999999)))
         fresh = edges.join(patterns.filter("score >= 0.5"), "pattern").groupBy("instance", "kind").agg((1 - err).alias("s"))
         fresh = fresh.join(seeds.select("instance"), "instance", "left_anti")

@@ -68,7 +68,8 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
-    return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"))
+    out = url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

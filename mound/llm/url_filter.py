@@ -21,6 +21,8 @@ from mound.llm.tables import ascii_lower, row_hash, settle
 # The rules of the contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 FIT_URLS = 20_000
+# Parts of the hosts that suffix statistics leave out in turn.
+FOLDS = 5
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio",
     "entropy", "parameters", "query_length", "fragment", "suffix_rate", "suffix_seen",
@@ -80,18 +82,41 @@ def featured(rows: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """Share of blocked among labelled urls of each suffix, drawn to one half where few are seen."""
-    n, k = F.count("*"), F.sum("label")
-    return labelled.groupBy("suffix").agg(((k + 1) / (n + 2)).alias("suffix_rate"), F.log1p(n.cast("double")).alias("suffix_seen"))
+    """Share of blocked among labelled urls of each suffix, drawn to one half where few are seen.
+
+    A row of ``fold`` null holds for urls to be judged. Rows of a fold leave out the labelled urls of hosts of
+    that fold: what the trees learn from a url does not hold its own label, nor that of its host.
+    """
+    sums = labelled.groupBy("suffix", fold().alias("fold")).agg(F.count("*").alias("n"), F.sum("label").alias("k"))
+    own = settle(sums)
+    whole = own.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+    folds = own.join(whole, "suffix").select("suffix", "fold", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_k") - F.col("k")).alias("k"))
+    every = whole.select("suffix", F.lit(None).cast("int").alias("fold"), F.col("all_n").alias("n"), F.col("all_k").alias("k"))
+    n, k = F.col("n"), F.col("k")
+    return every.unionByName(folds).select("suffix", "fold", ((k + 1) / (n + 2)).alias("suffix_rate"), F.log1p(n.cast("double")).alias("suffix_seen"))
 
 
-def with_suffix(rows: DataFrame, statistics: DataFrame) -> DataFrame:
-    """Join the statistics; an unseen suffix has rate one half and count 0."""
-    return rows.join(statistics, "suffix", "left").na.fill({"suffix_rate": 0.5, "suffix_seen": 0.0})
+def fold() -> Column:
+    """One of ``FOLDS`` parts of the hosts."""
+    return F.pmod(F.xxhash64(F.lit(23), "host"), F.lit(FOLDS)).cast("int")
+
+
+def with_suffix(rows: DataFrame, statistics: DataFrame, learning: bool = False) -> DataFrame:
+    """Join the statistics, those of the row's fold if it is for ``learning``; an unseen suffix has rate one half and count 0."""
+    if learning:
+        own = statistics.filter("fold is not null")
+        out = rows.withColumn("fold", fold()).join(own, ["suffix", "fold"], "left").drop("fold")
+    else:
+        out = rows.join(statistics.filter("fold is null").drop("fold"), "suffix", "left")
+    return out.na.fill({"suffix_rate": 0.5, "suffix_seen": 0.0})
 
 
 def fit(labelled: DataFrame, fit_urls: int = FIT_URLS) -> GBTClassificationModel | None:
-    """Boosted trees on at most about ``fit_urls`` labelled rows, chosen by hash; None without both labels."""
+    """Boosted trees on at most about ``fit_urls`` labelled rows, chosen by hash; None without both labels.
+
+    Equal urls count once, so a hot one does not pass the bound.
+    """
+    labelled = labelled.select("url", "host", "label", *FEATURES).dropDuplicates(["url", "host"])
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -114,7 +139,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, fit_urls
     labelled = rows.filter("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
     statistics = settle(suffix_statistics(labelled))
     rows = with_suffix(rows, statistics)
-    model = fit(with_suffix(labelled, statistics), fit_urls)
+    model = fit(with_suffix(labelled, statistics, True), fit_urls)
     if model is None:
         seen = labelled.select(F.max("label")).first()[0] or 0.0
         rows = rows.withColumn("block_score", F.lit(float(seen)))

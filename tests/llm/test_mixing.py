@@ -72,3 +72,13 @@ def test_query_against_duckdb(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
     assert differences(QUERIES["op2_mixing"](spark, SF), con, ORACLES["op2_mixing"]) == []
+
+
+def test_rows_without_id_draw_by_text(spark):
+    """Half of a source has no id: its copies come near the rate, and equal rows draw alike."""
+    rows = [(None if i % 2 else i, f"w{i} b c d", "a") for i in range(1_000)] + [(i, "x " * 20, "b") for i in range(400)] + [(None, "same", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.rated(docs)
+    r = out.filter("source = 'a'").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("copies") * F.col("size"))).alias("without"), F.first("target").alias("target"), F.first("source_size").alias("size")).first()
+    assert abs(r.without / 2_003 - r.target / r.size) < 0.1
+    assert out.filter("text = 'same'").select("copies").distinct().count() == 1

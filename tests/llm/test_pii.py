@@ -94,3 +94,56 @@ def test_redact(spark, documents):
     assert got == sorted([(1, text, 16)] * 2 + [(2, None, 0), (3, "clean", 5), (0, "+x [CARD]", 9), (4, "", 0)], key=str)
     assert pii.redact(docs.limit(0)).count() == 0
     assert pii.digest(docs.limit(0)).count() == 0
+
+
+def test_contexts_with_digits_discover(documents):
+    """The same words stand around a seed and a candidate, digits among them."""
+    rng = random.Random(5)
+    phone = lambda: f"+1 {rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)}"
+    rows = [(i, f"note {i} ref 12 call {phone()} today 9 times") for i in range(30)]
+    rows += [(100, "x ref 12 call 41a5550100 today 9 times"), (101, "x ref 12 send 41a5550100 soon 9 times")]
+    spans = {r.doc_id: r.spans for r in pii.digest(documents(rows)).collect()}
+    assert spans[100] == "phone:14:24" and spans[101] == ""
+
+
+def test_many_numbers_in_one_text(documents):
+    import time
+
+    text = " ".join(f"{i}" for i in range(100_000))
+    begun = time.time()
+    (row,) = pii.spans(documents([(1, text + " at 10.1.2.3 a@b.cd")])).collect()
+    assert [tuple(s) for s in row.base] == [(len(text) + 4, 1, len(text) + 12), (len(text) + 13, 0, len(text) + 19)]
+    assert time.time() - begun < 60
+
+
+def test_patterns_against_brute_force(spark):
+    """The rounds over the graph of patterns and instances, in plain Python, to the end."""
+    import math
+
+    rng = random.Random(8)
+    edges = {(f"p{rng.randrange(12)}", f"i{k}") for k in range(90) for _ in range(3)}
+    kinds = {f"i{k}": rng.choice([0, 0, 0, 1, -1, -1]) for k in range(90)}
+    rows = [("t", 0, 1, kinds[i], i, p) for p, i in edges]
+    found = spark.createDataFrame(rows, "key string, start int, end int, kind int, instance string, pattern string")
+    good = {p for p in {p for p, _ in edges} if sum(kinds[i] >= 0 for q, i in edges if q == p) >= 5}
+    size = {p: sum(q == p for q, _ in edges) for p in good}
+    seeds = {(i, k): 1.0 for i, k in kinds.items() if k >= 0}
+    scores, last = dict(seeds), None
+    for _ in range(pii.ROUNDS):
+        patterns = {}
+        for p, i in edges:
+            for k in (0, 1):
+                if p in good and (i, k) in scores:
+                    patterns[p, k] = patterns.get((p, k), 0.0) + scores[i, k] / (size[p] + 1)
+        if last == {x: round(v, 6) for x, v in patterns.items()}:
+            break
+        last = {x: round(v, 6) for x, v in patterns.items()}
+        fresh = {}
+        for p, i in edges:
+            for k in (0, 1):
+                if kinds[i] < 0 and patterns.get((p, k), 0) >= 0.5:
+                    fresh[i, k] = fresh.get((i, k), 0.0) + math.log1p(-patterns[p, k] * 0.999999)
+        scores = {**seeds, **{x: 1 - math.exp(v) for x, v in fresh.items()}}
+    got = {(r.pattern, r.kind): r.score for r in pii.confident(found, least_score=0.4).collect()}
+    want = {x: v for x, v in patterns.items() if v >= 0.4}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-6) for x in want)

@@ -130,3 +130,16 @@ def test_query_against_duckdb(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from read_parquet('{SF}/embeddings.parquet')")
     assert differences(QUERIES["op4_exact_topk"](spark, SF), con, ORACLES["op4_exact_topk"]) == []
+
+
+def test_rows_go_only_where_they_are_asked_for(spark):
+    """A cell that one query asks gets one block, one that nothing asks none, a crowded one as many as its queries fill."""
+    rows = spark.range(3_000).selectExpr("id as vec_id", "2 as dims", "cast(id % 3 as int) as cell", "array(0.0D, 1.0D) as vec")
+    sizes = rows.groupBy("dims", "cell").count().withColumnRenamed("count", "n")
+    asks = spark.range(501).selectExpr("id as vec_id", "2 as dims", "cast(if(id = 0, 0, 1) as int) as cell", "array(0.0D, 1.0D) as vec")
+    asks = asks.withColumns({"bound": F.lit(None).cast("long"), "only": F.lit(False)})
+    sent, asked = cells.dealt(rows, sizes, asks, chunk=300, block=100)
+    by_cell = {r.cell: (r["count"], r.b) for r in sent.groupBy("cell").agg(F.count("*").alias("count"), F.countDistinct("block").alias("b")).collect()}
+    assert by_cell == {0: (1_000, 1), 1: (5_000, 5)}
+    # Every query meets every chunk of its cell once.
+    assert {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()} == {0: 4, 1: 500 * 4}
