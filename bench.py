@@ -35,6 +35,7 @@ HEADLINE = [
     "q8_asof",
     "q9_validate_submission",
     "m4_m5_fit_score",
+    "m4_m5_optimum",
     "m7_metrics",
 ]
 
