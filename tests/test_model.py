@@ -153,7 +153,7 @@ def test_minorant_in_blocks(spark, block, fan):
     cases = [[(rng.randint(1, 5), None) for _ in range(30)] for _ in range(3)]
     cases = [[(n, rng.randint(0, n)) for n, _ in c] for c in cases]
     cases += [[(1, 0), (1, 1)] * 8, [(2, 2)] * 5 + [(3, 0)] * 5, [(9, k) for k in range(10)], [(4, 1)], []]
-    for case in cases:
+    for case in cases if block == 3 else cases[1:6:2]:
         at = sorted(rng.sample(range(60), len(case)))
         rows = [(a, n, k) for a, (n, k) in zip(at, case)]
         want = {
