@@ -211,23 +211,26 @@ def stretched(word: str) -> list[str]:
     return out + [word[:i] + word[i - 1] + word[i:] for i in inner]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
+def _svm(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Linear SVM with squared hinge loss by Newton steps; the last weight is the offset.
 
-    ``x`` stays in single precision; margins and normal equations are summed over blocks of it in double.
+    The parts of the matrix stay where they are, in single precision; margins and normal equations are summed over blocks
+    of their rows in double.
     """
-    size = x.shape[1] + 1
+    size = parts[0].shape[1] + 1
+    starts = np.cumsum([0] + [len(x) for x in parts])
+    blocks = [(x[k : k + ROWS], slice(s + k, s + min(k + ROWS, len(x)))) for s, x in zip(starts, parts) for k in range(0, len(x), ROWS)]
     w = np.zeros(size)
     ridge = np.eye(size)
     ridge[-1, -1] = 1e-6
-    active = np.zeros(len(x), dtype=bool)
+    active = np.zeros(len(y), dtype=bool)
     for _ in range(rounds):
-        left, right, now = ridge.copy(), np.zeros(size), np.zeros(len(x), dtype=bool)
-        for k in range(0, len(x), ROWS):
-            b = np.hstack([x[k : k + ROWS].astype(np.float64), np.ones((len(x[k : k + ROWS]), 1))])
-            inside = y[k : k + ROWS] * (b @ w) < 1
-            now[k : k + ROWS] = inside
-            b, c, z = b[inside], cost[k : k + ROWS][inside], y[k : k + ROWS][inside]
+        left, right, now = ridge.copy(), np.zeros(size), np.zeros(len(y), dtype=bool)
+        for x, at in blocks:
+            b = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+            inside = y[at] * (b @ w) < 1
+            now[at] = inside
+            b, c, z = b[inside], cost[at][inside], y[at][inside]
             left += b.T @ (c[:, None] * b)
             right += b.T @ (c * z)
         if (now == active).all():
@@ -324,8 +327,10 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TE
     codes = Codes(alphabet, marks)
 
     def features(some: list[str]) -> np.ndarray:
-        parts = [kernel(alphabet, some[k : k + ROWS], marks) @ whiten for k in range(0, len(some), ROWS)]
-        return np.concatenate([np.zeros((0, whiten.shape[1]), np.float32), *(x.astype(np.float32) for x in parts)])
+        out = np.zeros((len(some), whiten.shape[1]), np.float32)
+        for k in range(0, len(some), ROWS):
+            out[k : k + ROWS] = kernel(alphabet, some[k : k + ROWS], marks) @ whiten
+        return out
 
     def model_of(w: np.ndarray) -> Model:
         table = np.zeros(len(codes.codes) + 1)
@@ -356,7 +361,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, fit_texts: int = FIT_TE
         side = np.repeat([1.0, -1.0], [len(bad), len(clean)])
         light = COST * len(at) / max(1, len(extra)) / 4
         weight = np.repeat([COST, light, COST], [len(at), len(extra), len(clean)])
-        model = model_of(_svm(np.concatenate([features(bad), against]), side, weight))
+        model = model_of(_svm([features(bad), against], side, weight))
         margin = model.margins(words)
         new = worst(margin)
         if (new[y > 0] == chosen[y > 0]).all():
