@@ -74,3 +74,17 @@ def test_entropy_and_counts(spark):
     assert (r.url_length, r.depth, r.labels, r.hyphens, r.parameters, r.query_length, r.fragment, r.suffix) == (len(url), 2, 3, 1, 2, 7, 1, "org")
     assert r.digit_ratio == pytest.approx(3 / len(url))
     assert (empty.entropy, empty.url_length, null.entropy, null.suffix) == (0, 0, 0, "")
+
+
+def test_rates_for_learning_leave_out_the_own_host(spark):
+    """A suffix with one host: for judging its labels count, for learning from that host they do not."""
+    rows = [("http://a.one/%d" % i, "a.one", "one", 1.0) for i in range(8)] + [("http://h%d.two/" % i, "h%d.two" % i, "two", float(i % 2)) for i in range(40)]
+    labelled = spark.createDataFrame(rows, "url string, host string, suffix string, label double")
+    statistics = url_filter.suffix_statistics(labelled)
+    learning = {r.url: r for r in url_filter.with_suffix(labelled, statistics, True).collect()}
+    judging = {r.url: r for r in url_filter.with_suffix(labelled, statistics).collect()}
+    assert len(learning) == len(judging) == 48
+    assert {learning[f"http://a.one/{i}"].suffix_rate for i in range(8)} == {0.5}
+    assert {judging[f"http://a.one/{i}"].suffix_rate for i in range(8)} == {0.9}
+    assert len({learning[f"http://h{i}.two/"].suffix_rate for i in range(40)}) > 1
+    assert {round(judging[f"http://h{i}.two/"].suffix_rate, 9) for i in range(40)} == {0.5}
