@@ -14,6 +14,8 @@ and never shuffled. Copies of a text count once in the graph, so they do not len
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +38,34 @@ CLOSING = r"[\"')\]}>|.,;:!?]*$"
 CONTEXT = 64
 # Rounds end when no pattern's score moves any more, and after this many.
 ROUNDS = 20
-PART = 256
+PART = 64
+SPAN = "struct<start:int,kind:int,end:int,value:string,before:string,after:string>"
 LEAST_SEEDS = 5
 LEAST_SCORE = 0.75
 PRIOR = 1.0
 
 
-def _sums(lengths: Column) -> Column:
-    """Running sums of an array, each with its own element: sums of blocks first, so n elements take about n * PART steps."""
-    total = lambda some: F.aggregate(some, F.lit(0), lambda s, x: s + x)
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / PART).cast("int"))
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under ``step``, each with its own element.
+
+    Totals of blocks come first, so n elements take about n * PART steps. ``step`` is associative and 0 its start.
+    """
+    total = lambda some: F.aggregate(some, F.lit(0), step)
 
     def running(a: Column, per: Column) -> Column:
         before = F.transform(per, lambda _, b: total(F.slice(per, 1, b)))
 
         def at(place: Column, before: Column) -> Column:
             b = F.floor(place / PART).cast("int")
-            return F.get(before, b) + total(F.slice(a, b * PART + 1, place - b * PART + 1))
+            return step(F.get(before, b), total(F.slice(a, b * PART + 1, place - b * PART + 1)))
 
         # Single-item arrays name a list once for all uses.
         return F.flatten(F.transform(F.array(before), lambda x: F.transform(a, lambda _, i: at(i, x))))
 
-    per = F.transform(blocks, lambda b: total(F.slice(lengths, b * PART + 1, PART)))
-    named = F.array(F.struct(lengths.alias("a"), per.alias("per")))
+    # A list that is not named would be made again for every block.
+    blocks = lambda a: F.sequence(F.lit(0), F.floor((F.size(a) - 1) / PART).cast("int"))
+    per = lambda a: F.transform(blocks(a), lambda b: total(F.slice(a, b * PART + 1, PART)))
+    named = F.transform(F.array(values), lambda a: F.struct(a.alias("a"), per(a).alias("per")))
     return F.flatten(F.transform(named, lambda x: running(x["a"], x["per"])))
 
 
@@ -87,7 +94,7 @@ def _matches(text: Column, pattern: str) -> Column:
         return F.transform(p["f"], at)
 
     # Single-item arrays name the lists once for all uses.
-    places = F.transform(F.array(F.struct(gaps.alias("g"), found.alias("f"))), lambda p: F.struct(p["g"].alias("g"), p["f"].alias("f"), _sums(lengths(p)).alias("start")))
+    places = F.transform(F.array(F.struct(gaps.alias("g"), found.alias("f"))), lambda p: F.struct(p["g"].alias("g"), p["f"].alias("f"), _running(lengths(p), lambda s, x: s + x).alias("start")))
     return F.flatten(F.transform(places, each))
 
 
@@ -136,12 +143,26 @@ def _slots(text: Column) -> Column:
     return F.filter(F.transform(_matches(text, SLOT), trimmed), lambda m: m["value"] != "")
 
 
+def _apart(slots: Column, base: Column) -> Column:
+    """The slots that no base span touches: no span that starts before a slot's end reaches beyond its start.
+
+    One sort of span starts and slot ends and a running maximum of where spans reach, so n of both take about n * PART steps.
+    """
+    # At one place a slot's end comes before a span's start: they do not touch.
+    ends = F.transform(slots, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("reach"), s.alias("slot")))
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), b["end"].alias("reach"), F.lit(None).cast(SPAN).alias("slot")))
+    events = F.array(F.array_sort(F.concat(ends, starts)))
+    named = F.transform(events, lambda e: F.struct(e.alias("e"), _running(F.transform(e, lambda x: x["reach"]), lambda s, x: F.greatest(s, x)).alias("far")))
+    free = lambda x: F.filter(x["e"], lambda e, i: e["slot"].isNotNull() & (F.get(x["far"], i) <= e["slot"]["start"]))
+    kept = F.flatten(F.transform(named, free))
+    return F.when(F.size(base) == 0, slots).otherwise(F.transform(kept, lambda e: e["slot"]))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``key`` of the text, ``base`` spans, and ``other`` tokens that no base span touches."""
     text = text_of("text")
     rows = docs.select("doc_id", F.md5(text.cast("binary")).alias("key"), base_spans(text).alias("base"), _slots(text).alias("slots"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return rows.select("doc_id", "key", "base", F.filter("slots", apart).alias("other"))
+    return rows.select("doc_id", "key", "base", _apart(F.col("slots"), F.col("base")).alias("other"))
 
 
 def _patterns() -> Column:

@@ -116,6 +116,27 @@ def test_many_numbers_in_one_text(documents):
     assert time.time() - begun < 60
 
 
+def test_many_spans_and_tokens_in_one_text(documents):
+    import time
+
+    each = [f"10.0.{i % 256}.{i // 256} n{i} " for i in range(50_000)]
+    begun = time.time()
+    (row,) = pii.scanned(documents([(1, "".join(each))])).select(F.size("base").alias("base"), F.transform("other", lambda o: o["value"]).alias("other")).collect()
+    assert row.base == 50_000 and row.other == [f"n{i}" for i in range(50_000)]
+    assert time.time() - begun < 60
+
+
+def test_tokens_apart_against_brute_force(documents):
+    rng = random.Random(6)
+    parts = ["a@b.cd", "x1", "+1 (415) 555-0100", "4111 1111 1111 1111", "word", "(10.0.0.1)", "7", "u@v", "a1a@b.cd,", "@", "9,10.0.0.2;8"]
+    rows = [(i, rng.choice(["", " "]).join(rng.choice(parts) + rng.choice([" ", "  "]) for _ in range(rng.randrange(1, 600 if i % 20 == 0 else 12)))) for i in range(120)]
+    docs = documents(rows)
+    slots = {r.doc_id: r.s for r in docs.select("doc_id", pii._slots(F.col("text")).alias("s")).collect()}
+    for r in pii.scanned(docs).collect():
+        want = [s for s in slots[r.doc_id] if not any(b.start < s.end and s.start < b.end for b in r.base)]
+        assert r.other == want
+
+
 def test_patterns_against_brute_force(spark):
     """The rounds over the graph of patterns and instances, in plain Python, to the end."""
     import math
