@@ -221,8 +221,8 @@ def _grouped(each: DataFrame, radius: int = RADIUS, cell: int = CELL, shared: in
     return each.join(named.join(lowest, "component").select("fp", "component", "component_id"), "fp")
 
 
-# A name that no table has.
-DIGEST = "__digest_of_text"
+# Names that no table has.
+DIGEST, FIRST, ID = "__digest_of_text", "__digest_kept", "__id_kept"
 
 
 def hex_of(fp: str = "fp") -> Column:
@@ -233,15 +233,17 @@ def hex_of(fp: str = "fp") -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of every group: its smallest ``doc_id``.
 
-    Documents without an id are kept. Where texts of a group repeat its smallest id, that of the smallest fingerprint and
-    hash of the text is kept, and of equal rows one; an id that is the smallest of several groups stays with a text of each.
+    A document without an id stays only where its group has none with an id. Where texts of a group repeat the id that
+    stays, or have none, that of the smallest fingerprint and hash of the text is kept, and of equal rows one; an id that
+    is the smallest of several groups stays with a text of each.
     """
     text = F.xxhash64("text")
     each = settle(fingerprints(docs.select("doc_id", "text", text.alias("digest")), SHINGLE, "digest"))
-    own = _grouped(each).filter("doc_id = component_id")
-    first = own.groupBy("component").agg(F.min(F.struct("doc_id", "fp", "digest")).alias("x")).select("x.doc_id", "x.digest")
+    own = _grouped(each).filter("doc_id <=> component_id")
+    first = own.groupBy("component").agg(F.min(F.struct("doc_id", "fp", "digest")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias(ID), F.col("x.digest").alias(FIRST))
     # The ids are as many as the documents: a merge join at every size, by which repeats are found too.
-    named = docs.filter("doc_id is not null").withColumn(DIGEST, text)
-    named = named.join(first.withColumnRenamed("digest", DIGEST).hint("merge"), ["doc_id", DIGEST], "left_semi")
-    named = named.dropDuplicates(["doc_id", DIGEST]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.unionByName(docs.filter("doc_id is null"))
+    named = docs.withColumn(DIGEST, text)
+    same = F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(DIGEST) == F.col(FIRST))
+    named = named.join(first.hint("merge"), same, "left_semi")
+    return named.dropDuplicates(["doc_id", DIGEST]).select(*[F.col(f"`{c}`") for c in docs.columns])

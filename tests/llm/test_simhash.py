@@ -99,7 +99,8 @@ def test_groups_and_keep_one(documents):
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash.groups(docs).collect())
     assert got == [(-1, 2), (-1, 4), (2, 2), (3, 2), (4, 4), (7, 4), (8, 8), (8, 8), (9, 4)]
     kept = simhash.keep_one(docs)
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 2, 4, 8]
+    # The rows without an id are copies of 4 and of 2.
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 8]
     assert kept.columns == docs.columns
     assert simhash.groups(docs.limit(0)).count() == 0
 
@@ -110,3 +111,14 @@ def test_keep_one_of_every_group_with_repeated_ids(documents):
     rows = [(5, one), (5, two), (3, two), (6, one), (7, three), (7, "short text"), (7, three)]
     kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(documents(rows)).collect())
     assert kept == sorted([(5, one), (3, two), (7, three), (7, "short text")])
+
+
+def test_keep_one_of_groups_without_ids(documents):
+    """A group none of whose rows has an id keeps one; beside rows with an id, those without go."""
+    one, two = (" ".join(f"{k}{i}" for i in range(300)) for k in "ab")
+    near = one.rsplit(" ", 1)[0] + " other"
+    assert simhash.groups(documents([(1, one), (2, near)])).filter("component_id = 1").count() == 2
+    rows = [(None, one), (None, one), (None, near), (None, two), (6, two), (None, two)]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(documents(rows)).collect()]
+    assert len(kept) == 2 and (6, two) in kept
+    assert {k for k in kept if k[0] is None} < {(None, one), (None, near)}
