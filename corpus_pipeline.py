@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep one document of every group of near-equal fingerprints.
 
     Null, empty and wordless texts share the fingerprint zero and so are one group. Of rows with one id one stays; a row
-    without an id stands for itself and stays. A long text is read whole.
+    without an id stays only where its group has none with an id, and then one of them. A long text is read whole.
     """
     return simhash.keep_one(docs.select(*DOCUMENTS))
 
