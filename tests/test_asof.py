@@ -296,3 +296,48 @@ def test_rows_without_a_player_are_kept(spark):
 def test_unknown_pooling(spark):
     with pytest.raises(ValueError):
         asof.prev_games(games_log(spark), "pitcher_id", "pitcher", {"success": "control_success"}, how="x")
+
+
+def small_and_large(spark, **limits):
+    """As-of columns by default limits and by others."""
+    odd = [p[:1] + (None,) + p[2:] if i % 37 == 0 else p for i, p in enumerate(random_log())]
+    odd = [p[:4] + (None,) + p[5:] if i % 29 == 0 else p for i, p in enumerate(odd)]
+    log = make_log(spark, [p[:5] + (None,) + p[6:] if i % 31 == 0 else p for i, p in enumerate(odd)])
+    found = []
+    for more in ({}, limits):
+        out = asof.asof_features(log, **more)
+        found.append(sorted(map(str, out.select(sorted(out.columns)).collect())))
+    return found
+
+
+@pytest.mark.parametrize("limit", [0, 50])
+def test_features_of_busy_players_are_those_of_one_window(spark, limit):
+    want, got = small_and_large(spark, limit=limit)
+    assert got == want and len(want) == 400
+
+
+@pytest.mark.parametrize("limit", [0, 3])
+def test_games_of_busy_players(spark, rows, limit):
+    log = make_log(spark, random_log())
+    picked = {"success": "control_success"}
+    for make in (
+        lambda **more: asof.prev_games(log, "pitcher_id", "pitcher", picked, **more),
+        lambda **more: asof.game_seq(log, "pitcher_id", **more),
+    ):
+        want, got = make(), make(limit=limit)
+        assert rows(got, *want.columns) == rows(want, *want.columns)
+
+
+def test_rows_of_all_features_are_shuffled_once_a_player(spark):
+    log = make_log(spark, random_log())
+    plan = asof.asof_features(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_counting_games_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    log = make_log(spark, random_log())
+    monkeypatch.setattr(asof, "TASK_ROWS", 20)
+    games = asof.per_game(log, "pitcher_id", {"success": "control_success"})
+    assert games.agg(F.sum("n")).first()[0] == 400
+    plan = games._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pitcher_id" in plan and ", 20), REPARTITION_BY_NUM" in plan
