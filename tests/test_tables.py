@@ -251,3 +251,10 @@ def test_expanding_and_game_seq_columns(spark):
     seq = asof.game_seq(log, "pitcher_id")
     tops = seq.groupBy("pitcher_id").agg(F.max("game_seq").alias("m"), F.count("*").alias("n"))
     assert tops.filter("m <> n").count() == 0
+
+
+def test_written_tables_may_be_compressed(spark, tmp_path):
+    rows = spark.range(50).selectExpr("concat('r', id) as row_id", "id / 50 as control_success")
+    files.write_csv(rows.repartition(3), str(tmp_path / "t"), "gzip")
+    assert list((tmp_path / "t").glob("*.csv.gz")) and not list((tmp_path / "t").glob("*.csv"))
+    assert files.read_template(spark, str(tmp_path / "t")).exceptAll(rows).count() == 0
