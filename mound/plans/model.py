@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
@@ -24,6 +25,8 @@ from mound.sources.schema import BANNED, LABEL
 
 # Slots of a hashed category column.
 HASH_WIDTH = 4_096
+# Rows of a task that fits.
+TASK_ROWS = 500_000
 # Stands in for a missing rate; its flag carries the information.
 MISSING_RATE = 0.0
 
@@ -127,6 +130,9 @@ def fit(
     else:
         raise ValueError(f"unknown kind {kind!r}")
     used = settle(train.select(*numbers, *rates, *categories, *hashed, LABEL))
+    # A settled file of few columns is small and its rows many: dealt anew, a task holds a bounded number of them.
+    parts = max(math.ceil(used.count() / TASK_ROWS), used.sparkSession.sparkContext.defaultParallelism)
+    used = used.repartition(parts)
     features = fit_features(used, numbers, rates, categories, hashed)
     classifier = learner.fit(features.transform(prepare(used, rates)))
     if kind == "logistic" and classifier.summary.totalIterations >= learner.getMaxIter():

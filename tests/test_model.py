@@ -186,3 +186,13 @@ def test_training_flow(spark):
     assert 0 < scores.first().log_loss < 1
     pred = flows.predict(fitted, test.drop(LABEL))
     assert {r.violations for r in checks.validate_submission(pred, test).collect()} == {0}
+
+
+def test_fit_deals_rows_to_bounded_tasks(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("cast(id % 2 as int) as x", "cast(id % 3 = 0 as int) as control_success")
+    seen = []
+    monkeypatch.setattr(model, "TASK_ROWS", 100)
+    fit_features = model.fit_features
+    monkeypatch.setattr(model, "fit_features", lambda used, *more: seen.append(used.rdd.getNumPartitions()) or fit_features(used, *more))
+    model.fit(rows, ["x"])
+    assert seen == [6]
