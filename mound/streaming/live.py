@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
@@ -45,25 +46,33 @@ def live_counters(stream: DataFrame, key: str, ts: str, tie: str, outcomes: dict
     state_kind = f"at long, tie {tie_kind}, n long, " + ", ".join(f"k{i} long" for i in range(len(names)))
 
     def each(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(frames), ignore_index=True).sort_values([_AT, _TIE], ignore_index=True)
-        out = batch[columns].copy()
+        batch = pd.concat(list(frames), ignore_index=True)
+        out = {c: batch[c].array for c in columns}
         if group[0] is None or pd.isna(group[0]):
-            yield out.assign(**{f"{prefix}_refused": False}, **dict.fromkeys(found))
+            yield pd.DataFrame(out | {f"{prefix}_refused": False} | dict.fromkeys(found))
             return
         at, last, *sums = state.get if state.exists else (None, None, 0, *[0] * len(names))
-        fresh = batch[_AT].notna() & batch[_TIE].notna()
+        when, tie = batch[_AT].to_numpy(), batch[_TIE].to_numpy()
+        # A group has few rows and there are many groups: arrays, as each call on a frame costs more than its rows.
+        if when.dtype == tie.dtype == np.int64:
+            order, fresh = np.lexsort((tie, when)), np.ones(len(when), bool)
+        else:
+            order = batch.sort_values([_AT, _TIE]).index.to_numpy()
+            fresh = ~(pd.isna(when) | pd.isna(tie))
         if at is not None:
-            fresh &= (batch[_AT] > at) | ((batch[_AT] == at) & (batch[_TIE] > last))
-        ones = pd.DataFrame({"n": 1, **{c: batch[c] for c in counters}})[fresh]
-        before = ones.cumsum() - ones + sums
+            fresh[fresh] = [(x, y) > (at, last) for x, y in zip(when[fresh].tolist(), tie[fresh].tolist())]
         out[f"{prefix}_refused"] = ~fresh
-        for name, column in zip(found, before.columns):
-            out[name] = before[column].astype("Int64").reindex(out.index)
+        whole = []
+        for name, value, so_far in zip(found, [fresh, *(batch[c].to_numpy() for c in counters)], sums):
+            own = np.where(fresh, value, 0).astype(np.int64)
+            before = np.empty(len(own), np.int64)
+            before[order] = so_far + np.cumsum(own[order]) - own[order]
+            out[name] = pd.arrays.IntegerArray(before, ~fresh)
+            whole.append(int(so_far + own.sum()))
         if fresh.any():
-            end = batch[fresh].iloc[-1]
-            whole = [int(v) for v in ones.sum() + sums]
-            state.update((int(end[_AT]), end[_TIE] if tie_kind == "string" else int(end[_TIE]), *whole))
-        yield out
+            end = order[fresh[order]][-1]
+            state.update((int(when[end]), tie[end] if tie_kind == "string" else int(tie[end]), *whole))
+        yield pd.DataFrame(out, copy=False)
 
     ddl = ", ".join([*kinds, f"{prefix}_refused boolean", *(f"{c} long" for c in found)])
     counted = rows.groupBy(key, _SPREAD).applyInPandasWithState(each, ddl, state_kind, "append", GroupStateTimeout.NoTimeout)
