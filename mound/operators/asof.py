@@ -495,7 +495,9 @@ def fit_history(
     w = Window.partitionBy(key).orderBy("period")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     table = (
+        # Dealt by key once, for the sums and the window: a key has few rows a period.
         history.withColumn("period", period_number(period))
+        .repartition(F.col(key))
         .groupBy(key, "period")
         .agg(*[F.sum(v).alias(f"own_{c}") for c, v in sums.items()])
         .withColumns(

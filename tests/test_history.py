@@ -108,3 +108,11 @@ def test_rows_are_shuffled_once(spark):
     assert join.count("__spread") == 2 and "__spread" not in join.split("LeftOuter")[1]
     # Rows once; the totals for their sum, for being carried and for the join.
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_history_is_shuffled_once(spark, monkeypatch):
+    log = spark.range(1_000).selectExpr("id % 7 as pitcher_id", "cast(2000 + id % 5 as int) as season", "1 as k")
+    seen = []
+    monkeypatch.setattr(asof, "settle", lambda df: seen.append(df) or df)
+    asof.fit_history(log, "pitcher_id", ["season"], {"k": F.col("k")})
+    assert seen[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
