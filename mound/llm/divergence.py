@@ -18,12 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mound.llm.tables import row_hash, settle
 
 TERMS = 1 << 20
+# Bytes of text that a task takes apart at once; a longer text is taken by itself.
+PIECE = 1 << 22
 LEAST = 3
 RANKS = 200
 BLOCK = 4_096
@@ -112,6 +115,14 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, starts, ends - starts, np.searchsorted(offsets, starts, "right") - 1
 
 
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of texts of some ``most`` bytes."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begins = np.flatnonzero(np.diff((ends - 1) // most, prepend=-2))
+    for a, b in zip(begins, np.append(begins[1:], len(ends))):
+        yield batch.slice(a, b - a)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang``, ``source``, ``term`` (UTF-8), ``n`` and ``docs``, summed over the table.
 
@@ -126,7 +137,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([lang, source, pa.array(terms, pa.binary()), pa.array(n), pa.array(many)], schema=fields)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, PIECE)):
             of = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
             names = sorted(set(of))
             number = {g: i for i, g in enumerate(names)}

@@ -127,3 +127,18 @@ def test_exact_at_large_counts(spark):
 
 def test_duckdb(spark):
     assert differences(QUERIES["op13_divergence"](spark, SF), connect(SF), ORACLES["op13_divergence"]) == []
+
+
+def test_texts_are_taken_apart_in_bounded_pieces():
+    texts = ["ab", None, "c" * 30, "", "d" * 5, "e" * 5, "f"]
+    batch = pa.RecordBatch.from_pydict({"text": [t or "" for t in texts]}).slice(1)
+    found = [p.column("text").to_pylist() for p in dv.pieces(batch, 10)]
+    assert sum(found, []) == [t or "" for t in texts[1:]]
+    assert all(sum(map(len, p[1:])) <= 10 for p in found) and len(found) > 2
+
+
+def test_counts_do_not_depend_on_pieces(documents, monkeypatch):
+    docs = documents([(i, f"same words {'x' * (i % 7)} w{i % 5} Same", "ab"[i % 2]) for i in range(60)])
+    want = sorted(map(str, dv.term_counts(docs).collect()))
+    monkeypatch.setattr(dv, "PIECE", 50)
+    assert sorted(map(str, dv.term_counts(docs).collect())) == want
