@@ -84,18 +84,19 @@ def asof_rates(
     source: DataFrame | None = None,
     totals: DataFrame | None = None,
     limit: int | None = None,
+    few: Sequence[DataFrame | None] | None = None,
 ) -> DataFrame:
     """Add count, outcome rates and pitch-mix rates over the player's earlier pitches.
 
     All columns share one exchange, one sort and one window of the rows; they are null
     for rows without a player. Every player's rows are cut into blocks; with ``limit``, after a count of
-    the rows, only those of players of more rows.
+    the rows, only those of players of more rows; ``few`` holds those players where they are known (``busy``).
     """
     sums = _sums(prefix, outcomes, mix)
-    if limit is None:
+    if limit is None and few is None:
         out = running(log, [key], levels, sums, source, totals)
     else:
-        found = busy(log if source is None else source, [key], limit)[0]
+        found = (few or busy(log if source is None else source, [key], limit))[0]
         out = _counted(log, key, found, levels, sums, source)
     return _to_rates(out, prefix, outcomes, mix)
 

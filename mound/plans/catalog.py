@@ -681,8 +681,9 @@ def _model_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         sf,
         [*ORDER, "season", "pitcher_id", "batter_id", *MODEL_NUMBERS, *MODEL_CATEGORIES, LABEL],
     )
-    out = asof.asof_rates(log, "pitcher_id", "pitcher", {"success": LABEL}, limit=GROUP_ROWS)
-    out = asof.asof_rates(out, "batter_id", "batter", {"success": LABEL}, source=log, limit=GROUP_ROWS)
+    pitchers, batters = ordered.busy(log, ["pitcher_id", "batter_id"])
+    out = asof.asof_rates(log, "pitcher_id", "pitcher", {"success": LABEL}, few=[pitchers])
+    out = asof.asof_rates(out, "batter_id", "batter", {"success": LABEL}, source=log, few=[batters])
     # Train and test season read the same feature table.
     return scoring.season_split(settle(out), TEST_SEASON)
 

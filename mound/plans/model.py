@@ -130,10 +130,11 @@ def fit(
     else:
         raise ValueError(f"unknown kind {kind!r}")
     used = settle(train.select(*numbers, *rates, *categories, *hashed, LABEL))
-    # A settled file of few columns is small and its rows many: dealt anew, a task holds a bounded number of them.
-    parts = max(math.ceil(used.count() / TASK_ROWS), used.sparkSession.sparkContext.defaultParallelism)
-    used = used.repartition(parts)
     features = fit_features(used, numbers, rates, categories, hashed)
+    # A settled file of few columns is small and its rows many: dealt anew, a task holds a bounded number of them.
+    size = used.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("largest"), F.sum("count").alias("n")).first()
+    if (size.largest or 0) > TASK_ROWS:
+        used = used.repartition(math.ceil(size.n / TASK_ROWS))
     classifier = learner.fit(features.transform(prepare(used, rates)))
     if kind == "logistic" and classifier.summary.totalIterations >= learner.getMaxIter():
         raise RuntimeError(f"no convergence in {learner.getMaxIter()} rounds")

@@ -189,10 +189,10 @@ def test_training_flow(spark):
 
 
 def test_fit_deals_rows_to_bounded_tasks(spark, monkeypatch):
-    rows = spark.range(600).selectExpr("cast(id % 2 as int) as x", "cast(id % 3 = 0 as int) as control_success")
+    rows = spark.range(600).selectExpr("cast(id % 2 as int) as x", "cast(id % 3 = 0 as int) as control_success").coalesce(1)
     seen = []
     monkeypatch.setattr(model, "TASK_ROWS", 100)
-    fit_features = model.fit_features
-    monkeypatch.setattr(model, "fit_features", lambda used, *more: seen.append(used.rdd.getNumPartitions()) or fit_features(used, *more))
+    prepare = model.prepare
+    monkeypatch.setattr(model, "prepare", lambda used, *more: seen.append(used.rdd.getNumPartitions()) or prepare(used, *more))
     model.fit(rows, ["x"])
-    assert seen == [6]
+    assert seen == [1, 6]
