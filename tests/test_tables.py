@@ -190,6 +190,21 @@ def test_many_rows_are_not_broadcast(spark, monkeypatch, capsys):
     assert joined.filter("v = 2 * k").count() == 3000
 
 
+def test_many_rows_behind_the_pitch_view_are_not_broadcast(spark, monkeypatch, tmp_path):
+    order = spark.range(40).selectExpr("id as o_orderkey", "id % 3 as o_custkey", "timestamp_ntz'2001-04-01 00:00:00' as o_orderdate")
+    order.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3).selectExpr("id as c_custkey", "cast(id as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(90).selectExpr("id % 45 as l_orderkey", "cast(id as int) as l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    columns = ["game_id", "pitch_no", "game_date", "batter_team_id"]
+    few = pitch_view(spark, str(tmp_path), columns)
+    monkeypatch.setattr("mound.plans.pitch_view.JOIN_ROWS", 10)
+    many = pitch_view(spark, str(tmp_path), columns)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    # Orders meet line items by shuffle; three customers may still be broadcast.
+    assert plan.count("SortMergeJoin [l_orderkey") == 1 and plan.count("SortMergeJoin") == 1
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and many.count() == 80
+
+
 def test_shared_folder_comes_from_the_session():
     def session(named, master):
         context = SimpleNamespace(
