@@ -25,6 +25,8 @@ from mound.sources.schema import BANNED, LABEL
 
 # Slots of a hashed category column.
 HASH_WIDTH = 4_096
+# Number of equal rows.
+WEIGHT = "__n"
 # Rows of a task that fits.
 TASK_ROWS = 500_000
 # Stands in for a missing rate; its flag carries the information.
@@ -129,7 +131,12 @@ def fit(
         learner = GBTClassifier(labelCol=LABEL, maxIter=max_iter or 20, seed=7)
     else:
         raise ValueError(f"unknown kind {kind!r}")
-    used = settle(train.select(*numbers, *rates, *categories, *hashed, LABEL))
+    used = train.select(*numbers, *rates, *categories, *hashed, LABEL)
+    if kind == "trees":
+        # To a split equal rows are one of their number: each tree passes over different rows only.
+        used = used.groupBy(*used.columns).agg(F.count("*").cast("double").alias(WEIGHT))
+        learner.setWeightCol(WEIGHT)
+    used = settle(used)
     features = fit_features(used, numbers, rates, categories, hashed)
     # A settled file of few columns is small and its rows many: dealt anew, a task holds a bounded number of them.
     size = used.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("largest"), F.sum("count").alias("n")).first()

@@ -196,3 +196,25 @@ def test_fit_deals_rows_to_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(model, "prepare", lambda used, *more: seen.append(used.rdd.getNumPartitions()) or prepare(used, *more))
     model.fit(rows, ["x"])
     assert seen == [1, 6]
+
+
+def test_trees_take_equal_rows_once(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    rng = random.Random(5)
+    data = [(rng.randrange(4), rng.choice([0.5, 1.5, None]), rng.choice("LR")) for _ in range(900)]
+    data = [(x, r, h, int(rng.random() < 0.2 + 0.15 * x + (0.1 if h == "L" else 0))) for x, r, h in data]
+    rows = spark.createDataFrame(data, f"x int, rate double, hand string, {LABEL} int")
+    settled, write = [], model.settle
+
+    def watched(df):
+        settled.append(write(df))
+        return settled[-1]
+
+    monkeypatch.setattr(model, "settle", watched)
+    fitted = model.fit(rows, ["x"], ["rate"], ["hand"], "trees", 6)
+    assert settled[0].count() == len(set(data)) < 60
+    ready = fitted.transform(model.prepare(rows, ["rate"])).withColumnRenamed("probability", "p")
+    plain = GBTClassifier(labelCol=LABEL, maxIter=6, seed=7).fit(ready.select("features", LABEL))
+    both = plain.transform(ready.drop("prediction", "rawPrediction")).select("p", "probability").collect()
+    assert len(both) == 900 and max(abs(r.p[1] - r.probability[1]) for r in both) < 1e-9
