@@ -341,3 +341,20 @@ def test_counting_games_holds_a_bounded_number_of_rows(spark, monkeypatch):
     assert games.agg(F.sum("n")).first()[0] == 400
     plan = games._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(pitcher_id" in plan and ", 20), REPARTITION_BY_NUM" in plan
+
+
+def test_appearances_of_small_games_read_the_log_once(spark, rows):
+    rng = random.Random(21)
+    data = []
+    for i in range(400):
+        game = rng.choice([None, 1, 2, 3, 4])
+        pitch = None if i % 50 == 7 else i
+        data.append((game, pitch, f"r{i}", rng.randrange(1, 4), rng.choice("TB"), rng.choice([None, 7, 8])))
+    log = spark.createDataFrame(data, "game_id long, pitch_no int, row_id string, inning int, top_bottom string, batter_id long")
+    columns = ("row_id", "pa_no", "pitch_of_pa")
+    want = rows(asof.pitch_of_pa(log, block_rows=40), *columns)
+    plain, mixed = asof.pitch_of_pa(log, limit=1_000), asof.pitch_of_pa(log, limit=80)
+    assert rows(plain, *columns) == want and rows(mixed, *columns) == want
+    assert plain.schema == asof.pitch_of_pa(log).schema
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
